@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op5_packing
+from .quality import OP9_SQL, op9_quality
+from .topk import OP10_SQL, op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing}
+    return {"op5_packing": op5_packing, "op9_quality": op9_quality, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL}
