@@ -130,7 +130,8 @@ def through_words(docs: DataFrame, words_of: Callable[[str], list[str]], value_o
 
     dealt = table.select("chunk", F.explode("words").alias("w")).select("chunk", "w.bucket", "w.packed")
     valued = dealt.repartition(min(buckets, shards), "bucket").sortWithinPartitions("bucket").mapInArrow(values, "chunk long, bucket int, packed binary")
-    back = valued.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "packed"))).alias("values"))
+    # dealt as the bucketed table is, or the join would deal the documents' lists anew
+    back = valued.repartition(shards, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "packed"))).alias("values"))
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = None
