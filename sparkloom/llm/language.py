@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
 ORDER, PAD = 3, b"\n\n\n"
 SEGMENT = 1 << 20
-PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -175,13 +175,14 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     return Model(langs, [Tree([found[x][d][0] for d in range(ORDER + 1)], [found[x][d][1] for d in range(ORDER + 1)]) for x in langs])
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", evidence: int = 16) -> DataFrame:
-    """``PREDICTED`` for each row, from its whole text alone.
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", evidence: int = 16) -> DataFrame:
+    """Each row with ``lang_pred, score, bits_per_byte``, from its whole text alone.
 
     ``lang_pred`` is the language of the shortest code (ties: the first by name), ``und`` where the text
     is null or has no letter or nothing was learned, with score 0. ``score`` is the language's share of
-    the posterior if ``evidence`` bytes coded at the text's rates were seen. Null ids stay null,
-    repeated rows get a row each, an empty table gives none, other columns are ignored.
+    the posterior if ``evidence`` bytes coded at the text's rates were seen. Repeated rows get a row
+    each, an empty table gives none; all columns come back, but for those of the three names above,
+    which are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                text = part.column("text").to_pylist()
+                text = part.column(text_col).to_pylist()
                 known = [bool(t and m.languages and letter.search(t)) for t in text]
                 data = [t.encode() if k else b"" for t, k in zip(text, known, strict=True)]
                 bits = m.bits(data) if m.languages else np.zeros((len(text), 1))
@@ -201,12 +202,14 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 low = rate[np.arange(len(text)), best]
                 share = 1 / np.exp2(-evidence * (rate - low[:, None])).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0))],
-                    ["doc_id", "lang_pred", "score", "bits_per_byte"],
+                    [*(part.column(c) for c in names), pa.array([m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0))],
+                    [*names, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, PREDICTED)
+    rows = docs.drop("lang_pred", "score", "bits_per_byte")
+    names = rows.columns
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -218,4 +221,4 @@ def op4_language(spark, sf_dir: str) -> DataFrame:
     """Learned from the labelled documents not held out, predicted for the whole ``documents`` table."""
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

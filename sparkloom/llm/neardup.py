@@ -86,9 +86,9 @@ def _nodes(rows: DataFrame, words: int, coords: int) -> DataFrame:
                 size.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s, coords).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "node", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_md5", "node", "n_shingles", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, node binary, n_shingles long, sig binary")
+    return rows.withColumn("text_md5", F.md5("text")).mapInArrow(run, "doc_id long, text_md5 string, node binary, n_shingles long, sig binary")
 
 
 def _postings(nodes: DataFrame, coords: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, perce
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coords: int = 64, match: int = 36,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row.
+    """``doc_id, n_shingles, component_id, kept, text_md5`` for each row.
 
     Words are split at ASCII blanks after lower-casing A-Z; a text with fewer than ``words`` of them is
     one shingle. Rows are linked if their sets' intersection is ``percent`` per cent of their union or
@@ -194,13 +194,13 @@ def near_duplicates(
     links = first.unionByName(_links(left, wanted, sets, match, percent))
     roots = save(components(links, "a", "b"), "neardup-roots")
 
-    member = every.join(roots, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
+    member = every.join(roots, "node", "left").select("doc_id", "text_md5", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
     least = member.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("least", "doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("least", "doc_id"), F.lit(True)).alias("kept"), "text_md5"
     )
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicates of the whole ``documents`` table on two-word shingles."""
-    return near_duplicates(read(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("text_md5")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, save, texts
+from .common import read, save
 from .neardup import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -299,19 +299,19 @@ def repeated_spans(keyed: DataFrame, length: int = 400, gram: int = 128, sort_li
     return spans.unionByName(_sorted_repeats(sort, length)), held
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, sort_limit: int = 50_000, with_text: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256`` and, if asked for, ``kept_text``, for each row.
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400, gram: int = 128, sort_limit: int = 50_000, with_text: bool = True) -> DataFrame:
+    """Each row's other columns, then ``n_bytes, n_removed, n_spans, spans, kept_sha256`` and, if asked for, ``kept_text``.
 
     Every byte covered by a string of ``length`` bytes that starts anywhere else too, in the same
     document or another, is removed; strings are judged on the input. A null text counts as empty.
     Repeated rows are documents of their own, so a copy of ``length`` bytes or more removes the whole
     text from every copy. ``spans`` are the maximal removed runs, as byte offsets. ``kept_text`` is what
-    is left as UTF-8; bytes of a character that was cut are left out of it (not of the digest). Null ids
-    stay null; an empty table gives no rows; other columns are ignored.
+    is left as UTF-8; bytes of a character that was cut are left out of it (not of the digest). An empty
+    table gives no rows. The text column goes; columns of the names above are replaced.
     """
-    rows = texts(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("rk"))
-    spans, held = repeated_spans(rows.select("rk", "text"), length, gram, sort_limit)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text")]
+    spans, held = repeated_spans(docs.select(text.alias("text")).select(F.unhex(F.md5("text")).alias("rk"), "text"), length, gram, sort_limit)
     own = spans.groupBy("rk").agg(F.collect_set(F.struct("begin", "stop")).alias("found"))
     schema = "rk binary, n_removed long, n_spans long, spans array<struct<begin:long,stop:long>>, sha string" + ", kept string" * with_text
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
@@ -333,13 +333,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), kind, pa.string(), pa.string()), strict=False)], ["rk", "n_removed", "n_spans", "spans", "sha", "kept"][: 5 + with_text])
 
     cut = held.join(own, "rk").mapInArrow(run, schema)
-    plain = rows.select("doc_id", "rk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("plain"), *(["text"] * with_text))
-    return plain.join(cut, "rk", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "spans",
-        F.coalesce("sha", "plain").alias("kept_sha256"), *([F.coalesce("kept", "text").alias("kept_text")] * with_text),
+    plain = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("_text")).select(*(f"`{c}`" for c in names), F.unhex(F.md5("_text")).alias("_rk"), F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("_sha"), *(["_text"] * with_text))
+    cut = cut.select(F.col("rk").alias("_rk"), F.struct("n_removed", "n_spans", "spans", "sha", *(["kept"] * with_text)).alias("_cut"))
+    none = F.lit(0).cast("long")
+    return plain.join(cut, "_rk", "left").select(
+        *(f"`{c}`" for c in names), "n_bytes", F.coalesce("_cut.n_removed", none).alias("n_removed"), F.coalesce("_cut.n_spans", none).alias("n_spans"), F.col("_cut.spans").alias("spans"),
+        F.coalesce("_cut.sha", "_sha").alias("kept_sha256"), *([F.coalesce("_cut.kept", "_text").alias("kept_text")] * with_text),
     )
 
 
 def op1_suffix(spark, sf_dir: str) -> DataFrame:
     """400-byte repeats removed from the whole ``documents`` table."""
-    return remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
