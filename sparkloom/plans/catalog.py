@@ -14,7 +14,7 @@ from .engine import hybrid
 
 QUERY = "the that on thtion in"
 ANCHOR, DIM = 7, 32
-PATH_OF_4 = "repo/web-app/src/src0/en/25.vue"
+FILE_PATH = "repo/web-app/src/src0/de/25.vue"
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -235,9 +235,9 @@ def _(spark, sf_dir):
     return search.by_id(tables.documents_as_store(spark, sf_dir, "none"), "9").select("id", "type", "name", "full_content", "props")
 
 
-@query("lookup_by_file", f"WITH {S} SELECT {LIGHT} FROM s WHERE file_path = '{PATH_OF_4}'")
+@query("lookup_by_file", f"WITH {S} SELECT {LIGHT} FROM s WHERE file_path = '{FILE_PATH}'")
 def _(spark, sf_dir):
-    return search.by_file(tables.documents_as_store(spark, sf_dir), PATH_OF_4)
+    return search.by_file(tables.documents_as_store(spark, sf_dir), FILE_PATH)
 
 
 @query("health_status", "SELECT 'ok' AS status, count(*) AS fragments FROM documents")
@@ -344,7 +344,7 @@ def _(spark, sf_dir):
 NAME = "list_last(string_split(url, '/'))"
 
 
-@query("file_info", f"SELECT page_id, {NAME} AS file_name, regexp_extract({NAME}, '^\\.*[^.].*?(\\.[^.]*)$', 1) AS extension, octet_length(html::BLOB)::BIGINT AS size FROM pages")
+@query("file_info", f"SELECT page_id, {NAME} AS file_name, regexp_extract({NAME}, '^\\.*[^.].*?(\\.[^.]*)$', 1) AS extension, strlen(html)::BIGINT AS size FROM pages")
 def _(spark, sf_dir):
     pages = tables.table(spark, sf_dir, "pages").selectExpr("page_id", "url AS path", "cast(octet_length(html) as long) AS size")
     return project.file_info(pages).select("page_id", "file_name", "extension", "size")
@@ -475,7 +475,9 @@ def _(spark, sf_dir):
     return training.hit_at_k(ranked)
 
 
-@query("pair_cache_key", "SELECT doc_id, item_id, md5(b.text || '|' || d.text) AS key FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("pair_cache_key", "SELECT doc_id, item_id, md5(b.text || '|' || d.text) AS key FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark) b ON b.at = d.doc_id % b.n")
 def _(spark, sf_dir):
-    d, b = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", "item_id", encode.pair_cache_key(F.col("query"), F.col("text")).alias("key"))
+    items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    b, n = store.numbered(items, [F.col("item_id")], "at"), items.count()
+    d = tables.table(spark, sf_dir, "documents").withColumn("at", F.col("doc_id") % max(1, n))
+    return d.join(b, "at").select("doc_id", "item_id", encode.pair_cache_key(F.col("query"), F.col("text")).alias("key"))
