@@ -4,10 +4,16 @@ Documents with the same shingle set are one node. A node's signature has ``coord
 posted under each (coordinate, value) pair that occurs twice or more. Two nodes that agree in
 ``match`` coordinates or more must share one of the ``coords - match + 1`` rarest pairs of either, so
 nodes with fewer shared pairs than ``match`` are skipped and the others are posted under those rarest
-pairs alone (the prefix). Pairs of a posting list are not all made: first every member is held against
-the list's hub that it shares most lists with; when these links have been joined to components, only
-members of different components are still compared. A pair is a link if it agrees in ``match``
-coordinates and its full sets are as similar as asked.
+pairs alone (the prefix). Pairs of a posting list are not all made. First every member is held against
+one hub, of its lists' hubs the one that it shares most lists with; a list's hub is the member whose
+coordinates are the most common, so of a group of edited copies the one nearest to their original.
+These links are joined to components, and lists within one component are done. In the others, shingles
+that no other member has bound what a pair can have in common: members that can't reach the threshold
+with any partner of their list leave it. Members outside a list's main component are then held against
+all of that component, in blocks of packed sets that give a link for each at most; and last, members of
+different components that still share a list are paired, each pair under the first key that it shares.
+A pair is a link if its full sets are as similar as asked; pairs made one by one agree in ``match``
+coordinates first.
 """
 
 from __future__ import annotations
@@ -133,6 +139,46 @@ def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, perce
     return save(beside(close, sets, "items", ("xa", "xb")).mapInArrow(similar, "a binary, b binary"), "neardup-links")
 
 
+def _into_components(at: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """``a, b``: for members outside their list's main component, a link into it from each block that has one."""
+    most = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    outside = at.join(most, "key").where("root <> main").select("node", F.col("main").alias("into")).distinct()
+    goals = outside.select(F.col("into").alias("root")).distinct()
+    inside = roots.unionByName(goals.select(F.col("root").alias("node"), "root")).distinct().join(goals, "root").select("node", F.col("root").alias("into"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("into").orderBy("node"))
+        packed = rows.withColumn("no", F.floor((place - 1) / block)).join(sets, "node")
+        return packed.groupBy("into", "no").agg(F.collect_list(F.struct("node", "items")).alias(name)).drop("no")
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for r in range(batch.num_rows):
+                sides = []
+                for name in ("x", "y"):
+                    own = batch.column(name)[r].values
+                    sides.append((own.field("node"), [np.frombuffer(v.as_buffer(), np.uint64) for v in own.field("items")]))
+                (xn, x), (yn, y) = sides
+                shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+                grids, sizes = [], []
+                for side in (x, y):
+                    grid = np.zeros((len(side), len(shared)), np.float32)
+                    for i, v in enumerate(side):
+                        grid[i, np.searchsorted(shared, np.intersect1d(v, shared, assume_unique=True))] = 1
+                    grids.append(grid)
+                    sizes.append(np.array([len(v) for v in side]))
+                common = np.rint(grids[0] @ grids[1].T).astype(np.int64)
+                near = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+                for i in np.nonzero(near.any(axis=1))[0]:
+                    out_a.append(xn[int(i)].as_py())
+                    out_b.append(yn[int(near[i].argmax())].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+
+    both = blocks(outside, "x").join(blocks(inside, "y"), "into")
+    return both.mapInArrow(held, "a binary, b binary")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coords: int = 64, match: int = 36,
 ) -> DataFrame:
@@ -150,7 +196,7 @@ def near_duplicates(
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = save(_nodes(rows, words, coords), "neardup-nodes")
     linked = every.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = linked.groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep"))
+    nodes = linked.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
 
     # keys that occur twice or more, and the nodes with enough of them
     posted = _postings(nodes, coords)
@@ -158,13 +204,12 @@ def near_duplicates(
     own = posted.join(shared, "key")
     rarest = Window.partitionBy("node").orderBy("n", "key")
     total = Window.partitionBy("node")
-    prefix = save(
-        own.withColumns({"m": F.count("*").over(total), "r": F.row_number().over(rarest)}).where((F.col("m") >= match) & (F.col("r") <= F.lit(coords - match + 1) - (F.lit(coords) - F.col("m")))).select("node", "key"),
-        "neardup-prefix",
-    )
+    marked = own.withColumns({"m": F.count("*").over(total), "common": F.sum("n").over(total), "r": F.row_number().over(rarest)})
+    prefix = marked.where((F.col("m") >= match) & (F.col("r") <= F.lit(coords - match + 1) - (F.lit(coords) - F.col("m"))))
+    prefix = save(prefix.select("node", "key", "common"), "neardup-prefix")
 
     # full sets of those nodes, from one text each
-    wanted = prefix.select("node").distinct().join(nodes, "node").select("node", "sig", "rep")
+    wanted = prefix.select("node").distinct().join(nodes, "node").select("node", "sig", "n", "rep")
     wanted = save(wanted, "neardup-wanted")
     ids = wanted.select("rep").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
@@ -179,19 +224,49 @@ def near_duplicates(
     sets = save(sets.dropDuplicates(["node"]), "neardup-sets")
 
     # each node against its main hub
-    hub = prefix.groupBy("key").agg(F.min("node").alias("b"))
+    hub = prefix.groupBy("key").agg(F.max(F.struct("common", "node"))["node"].alias("b"))
     tried = prefix.join(hub, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
     main = tried.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r = 1").select("a", "b")
     first = _links(main, wanted, sets, match, percent)
     roots = save(components(first, "a", "b"), "neardup-roots")
 
     # then what is left between components
-    at = prefix.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    at = save(at.join(mixed, "key"), "neardup-mixed")
-    one, two = (at.select("key", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
-    left = one.join(two, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(main.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = first.unionByName(_links(left, wanted, sets, match, percent))
+    def mixed(rows: DataFrame, tag: str) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return save(rows.join(keys, "key"), tag)
+
+    def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))), pa.array(np.concatenate(found))], ["node", "item"])
+
+    at = mixed(prefix.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "neardup-mixed")
+    items_of = sets.join(at.select("node").distinct(), "node").select("node", "items").mapInArrow(exploded, "node binary, item long")
+    lone = items_of.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    sizes = at.select("node").distinct().join(wanted.select("node", "n"), "node").join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("g"))
+    at = at.join(save(sizes, "neardup-sizes"), "node")
+    least = at.groupBy("key").agg(F.min("n").alias("least"))
+    at = at.join(least, "key").where(100 * F.col("g") >= percent * (F.col("n") + F.greatest("least", "g") - F.col("g"))).drop("least")
+    at = mixed(at, "neardup-open")
+    links = save(first.unionByName(_into_components(at, roots, sets, percent)), "neardup-links")
+    roots = save(components(links, "a", "b"), "neardup-roots")
+
+    # members of different components that still share a list, one pair at a time; what was compared with its main component is not compared again
+    most = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    apart = at.join(most, "key").where("root <> main").select("key", "node", "n", "g")
+    apart = apart.join(roots, "node", "left").select("key", "node", "n", "g", F.coalesce("root", "node").alias("root"))
+    coordinates = _postings(wanted, coords).groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("all"))
+    lists = prefix.groupBy("node").agg(F.collect_list("key").alias("own"))
+    apart = mixed(apart, "neardup-apart")
+    apart = save(apart.join(coordinates, "node").join(lists, "node"), "neardup-apart")
+    one, two = (apart.select("key", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "n", "g", "all", "own"))) for n in ("a", "b"))
+    able = 100 * F.least("g_a", "g_b") >= percent * (F.col("n_a") + F.col("n_b") - F.least("g_a", "g_b"))
+    agree = F.size(F.array_intersect("all_a", "all_b")) >= match
+    once = F.array_min(F.array_intersect("own_a", "own_b")) == F.col("key")
+    left = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & able & agree & once).select("a", "b").distinct()
+    links = links.unionByName(_links(left, wanted, sets, match, percent))
     roots = save(components(links, "a", "b"), "neardup-roots")
 
     member = every.join(roots, "node", "left").select("doc_id", "text_md5", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
