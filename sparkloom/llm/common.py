@@ -48,8 +48,9 @@ def purge(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that ``df`` reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the bytes that ``df`` reads; where it can't tell, a guess from the number of shuffle partitions."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 55 else 8_000_000 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def worker_cache() -> dict:

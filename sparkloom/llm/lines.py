@@ -23,8 +23,8 @@ from .components import components
 
 SHINGLE = 8
 EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
-#: Lines with fewer words than this use every shingle in their signature.
-FEW = 6
+#: Lines with fewer words than the first use every shingle in their signature, from the second on those that start words; in between, both.
+FEW, MANY = 12, 16
 BROADCAST_ROWS = 500_000
 
 
@@ -53,16 +53,21 @@ def band_keys(hashes: Column) -> Column:
     return bound(F.sort_array(F.array_distinct(hashes)), lambda s: F.when(F.size(s) > 0, keys(s)).otherwise(F.array().cast("array<long>")))
 
 
+def of_shingles(line: Column, f) -> Column:
+    """``f`` of the hashes that a line's signature is made of."""
+    words, every = lambda w: f(word_shingles(w)), lambda: f(every_shingle(line))
+    return bound(F.split(line, " "), lambda w: F.when(F.size(w) >= MANY, words(w)).when(F.size(w) >= FEW, F.concat(words(w), every())).otherwise(every()))
+
+
 def signature(line: Column) -> Column:
-    return bound(F.split(line, " "), lambda w: F.when(F.size(w) >= FEW, band_keys(word_shingles(w))).otherwise(band_keys(every_shingle(line))))
+    return of_shingles(line, band_keys)
 
 
 def lowest(line: Column) -> Column:
     """For each sixteenth of the hash space that a line's signature shingles have hashes in, the lowest of these."""
     part = lambda x: F.shiftright(x, 60)
     firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (part(x) != part(F.get(s, i - 1))))
-    hashes = bound(F.split(line, " "), lambda w: F.when(F.size(w) >= FEW, word_shingles(w)).otherwise(every_shingle(line)))
-    return bound(F.sort_array(F.array_distinct(hashes)), firsts)
+    return of_shingles(line, lambda hashes: bound(F.sort_array(F.array_distinct(hashes)), firsts))
 
 
 def _agree(a: Column, b: Column) -> Column:

@@ -7,8 +7,10 @@ nodes with fewer shared pairs than ``match`` are skipped and the others are post
 pairs alone (the prefix). Pairs of a posting list are not all made. First every member is held against
 one hub, of its lists' hubs the one that it shares most lists with; a list's hub is the member whose
 coordinates are the most common, so of a group of edited copies the one nearest to their original.
-These links are joined to components, and lists within one component are done. In the others, shingles
-that no other member has bound what a pair can have in common: members that can't reach the threshold
+These links are joined to components, and lists within one component are done. In the others, two bits of
+every coordinate travel with a posting: a pair that agrees in ``match`` coordinates agrees in as many
+pairs of bits, and a member without such a partner in another component leaves the list. Shingles that
+no other member has bound what a pair can have in common: members that can't reach the threshold
 with any partner of their list leave it. Members outside a list's main component are then held against
 all of that component, in blocks of packed sets that give a link for each at most; and last, members of
 different components that still share a list are paired, each pair under the first key that it shares.
@@ -111,6 +113,28 @@ def _postings(nodes: DataFrame, coords: int) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "node binary, key long")
 
 
+def _bits(nodes: DataFrame, coords: int) -> DataFrame:
+    """``node, bits``: the two lowest bits of each coordinate, 32 coordinates a number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            low = np.zeros((batch.num_rows, -(-coords // 32) * 32), np.uint64)
+            low[:, :coords] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, coords) & np.uint32(3)
+            packed = (low.reshape(batch.num_rows, -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(packed), pa.list_(pa.int64()))], ["node", "bits"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node binary, bits array<long>")
+
+
+def _may_agree(a: str, b: str, coords: int, match: int):
+    """Whether two nodes agree in the two bits of ``match`` coordinates or more; true for all that agree in the coordinates."""
+    differ = F.lit(0)
+    for i in range(-(-coords // 32)):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        differ = differ + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    return differ <= coords - match
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
     """Those of ``a, b`` that agree in ``match`` coordinates and whose full sets are similar."""
 
@@ -197,6 +221,7 @@ def near_duplicates(
     every = save(_nodes(rows, words, coords), "neardup-nodes")
     linked = every.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = linked.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
+    nodes = save(nodes, "neardup-sets-of-copies")
 
     # keys that occur twice or more, and the nodes with enough of them
     posted = _postings(nodes, coords)
@@ -206,7 +231,7 @@ def near_duplicates(
     total = Window.partitionBy("node")
     marked = own.withColumns({"m": F.count("*").over(total), "common": F.sum("n").over(total), "r": F.row_number().over(rarest)})
     prefix = marked.where((F.col("m") >= match) & (F.col("r") <= F.lit(coords - match + 1) - (F.lit(coords) - F.col("m"))))
-    prefix = save(prefix.select("node", "key", "common"), "neardup-prefix")
+    prefix = save(prefix.select("node", "key", "common").join(_bits(nodes, coords), "node"), "neardup-prefix")
 
     # full sets of those nodes, from one text each
     wanted = prefix.select("node").distinct().join(nodes, "node").select("node", "sig", "n", "rep")
@@ -225,7 +250,8 @@ def near_duplicates(
 
     # each node against its main hub
     hub = prefix.groupBy("key").agg(F.max(F.struct("common", "node"))["node"].alias("b"))
-    tried = prefix.join(hub, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    hub = hub.join(prefix.select("key", F.col("node").alias("b"), F.col("bits").alias("bits_b")), ["key", "b"])
+    tried = prefix.join(hub, "key").where("node <> b").where(_may_agree("bits", "bits_b", coords, match)).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
     main = tried.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r = 1").select("a", "b")
     first = _links(main, wanted, sets, match, percent)
     roots = save(components(first, "a", "b"), "neardup-roots")
@@ -242,7 +268,9 @@ def near_duplicates(
                 found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))), pa.array(np.concatenate(found))], ["node", "item"])
 
-    at = mixed(prefix.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "neardup-mixed")
+    at = mixed(prefix.join(roots, "node", "left").select("key", "node", "bits", F.coalesce("root", "node").alias("root")), "neardup-mixed")
+    other = at.select(F.col("key").alias("key_"), F.col("bits").alias("bits_"), F.col("root").alias("root_"))
+    at = mixed(at.join(other, (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & _may_agree("bits", "bits_", coords, match), "left_semi"), "neardup-mixed")
     items_of = sets.join(at.select("node").distinct(), "node").select("node", "items").mapInArrow(exploded, "node binary, item long")
     lone = items_of.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
     sizes = at.select("node").distinct().join(wanted.select("node", "n"), "node").join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("g"))
@@ -255,15 +283,14 @@ def near_duplicates(
 
     # members of different components that still share a list, one pair at a time; what was compared with its main component is not compared again
     most = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
-    apart = at.join(most, "key").where("root <> main").select("key", "node", "n", "g")
-    apart = apart.join(roots, "node", "left").select("key", "node", "n", "g", F.coalesce("root", "node").alias("root"))
-    coordinates = _postings(wanted, coords).groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("all"))
+    apart = at.join(most, "key").where("root <> main").select("key", "node", "bits", "n", "g")
+    apart = apart.join(roots, "node", "left").select("key", "node", "bits", "n", "g", F.coalesce("root", "node").alias("root"))
     lists = prefix.groupBy("node").agg(F.collect_list("key").alias("own"))
     apart = mixed(apart, "neardup-apart")
-    apart = save(apart.join(coordinates, "node").join(lists, "node"), "neardup-apart")
-    one, two = (apart.select("key", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "n", "g", "all", "own"))) for n in ("a", "b"))
+    apart = save(apart.join(lists, "node"), "neardup-apart")
+    one, two = (apart.select("key", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "n", "g", "bits", "own"))) for n in ("a", "b"))
     able = 100 * F.least("g_a", "g_b") >= percent * (F.col("n_a") + F.col("n_b") - F.least("g_a", "g_b"))
-    agree = F.size(F.array_intersect("all_a", "all_b")) >= match
+    agree = _may_agree("bits_a", "bits_b", coords, match)
     once = F.array_min(F.array_intersect("own_a", "own_b")) == F.col("key")
     left = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & able & agree & once).select("a", "b").distinct()
     links = links.unionByName(_links(left, wanted, sets, match, percent))

@@ -109,7 +109,7 @@ def through_words(docs: DataFrame, words_of: Callable[[str], list[str]], value_o
     gets a chunk and yields tuples of ``schema``.
     """
     spark = docs.sparkSession
-    shards = max(12, min(100_000, plan_bytes(docs) // 8_000_000))
+    shards = max(4, min(100_000, plan_bytes(docs) // 8_000_000))
     buckets = max(64, min(65_536, 4 * shards))
     name = f"sparkloom_chunks_{uuid.uuid4().hex}"
     chunked = chunks(docs, words_of, buckets, counted)
