@@ -232,6 +232,9 @@ def near_duplicates(
     marked = own.withColumns({"m": F.count("*").over(total), "common": F.sum("n").over(total), "r": F.row_number().over(rarest)})
     prefix = marked.where((F.col("m") >= match) & (F.col("r") <= F.lit(coords - match + 1) - (F.lit(coords) - F.col("m"))))
     prefix = save(prefix.select("node", "key", "common").join(_bits(nodes, coords), "node"), "neardup-prefix")
+    # chance meetings go: a posting stays if its list has another node that may agree in enough coordinates
+    mate = prefix.select(F.col("key").alias("key_"), F.col("node").alias("node_"), F.col("bits").alias("bits_"))
+    prefix = save(prefix.join(mate, (F.col("key") == F.col("key_")) & (F.col("node") != F.col("node_")) & _may_agree("bits", "bits_", coords, match), "left_semi"), "neardup-prefix")
 
     # full sets of those nodes, from one text each
     wanted = prefix.select("node").distinct().join(nodes, "node").select("node", "sig", "n", "rep")
