@@ -46,9 +46,12 @@ def training_pairs(examples: DataFrame, position: str, negatives: int = 3) -> Da
 def stratified_split(pairs: DataFrame, key_cols: list[str], share: float = 0.1, label: str = "label") -> DataFrame:
     """``is_validation`` for the first ``share`` of each label in the order of an MD5 of the key."""
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
-    w = Window.partitionBy(label)
-    ranked = pairs.withColumns({"_r": F.row_number().over(w.orderBy(key, *key_cols)), "_n": F.count("*").over(w)})
-    return ranked.withColumn("is_validation", F.col("_r") <= F.ceil(F.col("_n") * F.lit(share))).drop("_r", "_n")
+    order = [F.col(label), F.col("_key"), *map(F.col, key_cols)]
+    ranked = numbered(pairs.withColumn("_key", key), order, "_at")
+    # a row for each label
+    labels = ranked.groupBy(label).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    out = ranked.join(F.broadcast(labels), label)
+    return out.withColumn("is_validation", F.col("_at") - F.col("_first") < F.ceil(F.col("_n") * F.lit(share))).drop("_key", "_at", "_first", "_n")
 
 
 def label_counts(pairs: DataFrame) -> DataFrame:
