@@ -47,11 +47,11 @@ def stratified_split(pairs: DataFrame, key_cols: list[str], share: float = 0.1,
     """``is_validation`` for the first ``share`` of each label in the order of an MD5 of the key."""
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
     order = [F.col(label), F.col("_key"), *map(F.col, key_cols)]
-    ranked = numbered(pairs.withColumn("_key", key), order, "_at")
+    ranked = numbered(pairs.withColumn("_key", key), order, "_place")
     # a row for each label
-    labels = ranked.groupBy(label).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    labels = ranked.groupBy(label).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
     out = ranked.join(F.broadcast(labels), label)
-    return out.withColumn("is_validation", F.col("_at") - F.col("_first") < F.ceil(F.col("_n") * F.lit(share))).drop("_key", "_at", "_first", "_n")
+    return out.withColumn("is_validation", F.col("_place") - F.col("_first") < F.ceil(F.col("_n") * F.lit(share))).drop("_key", "_place", "_first", "_n")
 
 
 def label_counts(pairs: DataFrame) -> DataFrame:
