@@ -257,6 +257,46 @@ def test_passages(docs, empty, rows):
     assert substring.near_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("words", [50, 60, 80, 100])
+def test_edited_passages_are_found(words):
+    """A passage with a word changed anywhere, in foreign surroundings, that meets the threshold."""
+    r = np.random.default_rng(words)
+    for at in range(words):
+        one, two = (r.integers(0, 1 << 40, 40 + words + 30) for _ in range(2))
+        two[20 : 20 + words] = one[40 : 40 + words]
+        two[20 + at] += 1
+        x, y = (np.array([hash(tuple(z[i : i + 5].tolist())) for i in range(len(z) - 4)]).view(np.uint64) for z in (one, two))
+        common = words - 4 - len({i for i in range(words - 4) if i <= at <= i + 4})
+        if 100 * common < 80 * (2 * (words - 4) - common):
+            continue
+        for c in range(words - 4):
+            if not c <= at <= c + 4:
+                (found,) = substring.passages(x, y, [(0, 40 + c, 0, len(x) - 1, 20 + c, 0, len(y) - 1)], 46, 1, 80)
+                assert found[4] == common and 100 * found[4] >= 80 * found[5]
+
+
+def test_passages_against_brute_force():
+    """Repeats, moved parts, insertions and deletions; every choice of begins and ends."""
+    r = random.Random(1)
+
+    def brute(x, cx, y, cy, least):
+        spans = [[set(z[p : q + 1]) for p in range(c + 1) for q in range(max(c, p + least - 1), len(z))] for z, c in ((x, cx), (y, cy))]
+        return any(100 * len(a & b) >= 80 * len(a | b) for a in spans[0] for b in spans[1])
+
+    for _ in range(400):
+        least, kinds = r.choice([4, 6, 8]), r.choice([6, 12, 200])
+        x = [r.randrange(kinds) for _ in range(r.randint(least, 16))]
+        y = list(x)
+        for _ in range(r.randint(0, 4)):
+            a = r.randrange(len(y))
+            y = r.choice([y[:a] + [r.randrange(300)] + y[a + 1 :], y[:a] + [r.randrange(300)] + y[a:], y[:a] + y[a + 1 :] or y, y[a:] + y[:a]])
+        meets = [(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
+        if meets:
+            i, j = r.choice(meets)
+            found = list(substring.passages(np.array(x, np.uint64), np.array(y, np.uint64), [(0, i, 0, len(x) - 1, j, 0, len(y) - 1)], least, 1, 80))
+            assert bool(found) == brute(x, i, y, j, least)
+
+
 def test_compact_windows_are_all_and_only_those():
     r = np.random.default_rng(3)
     for n, least in ((60, 7), (30, 30), (29, 30), (200, 11)):
