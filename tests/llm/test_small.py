@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -257,6 +258,25 @@ def test_passages(docs, empty, rows):
     assert substring.near_passages(empty).count() == 0
 
 
+def test_passages_of_a_value_with_chance_users(spark):
+    """Two near copies whose phrase is in texts that sort before, between and after them."""
+    copy = prose(50, 70).split()
+    held = lambda k: prose(70 + k, 30) + " " + " ".join(copy) + " " + prose(80 + k, 30)
+    minima = [{int(c) for fn in range(4) for c in substring.compact_windows(substring.shingles(held(k), 5), fn, 46)[1] if 30 <= c < 96} for k in (8, 9)]
+    phrases = [" ".join(copy[c - 30 : c - 25]) for c in sorted(minima[0] & minima[1])]
+
+    def sorted_at(text: str, eighth: int) -> str:
+        """The text with a word more, so that its key is in an eighth of the numbers."""
+        key = lambda t: np.int64(np.uint64(xxhash.xxh64_intdigest(hashlib.md5(t.encode()).digest(), seed=42)).view(np.int64)) >> 61
+        return next(t for t in (f"{text} n{i}" for i in range(1000)) if key(t) == eighth - 4)
+
+    chance = lambda k: " ".join(prose(100 + 40 * k + i, 25) + " " + p for i, p in enumerate(phrases)) + " " + prose(60 + k, 60)
+    made = [(k, sorted_at(chance(k), at)) for k, at in enumerate([0, 0, 0, 0, 4, 4, 4, 4])] + [(8, sorted_at(held(8), 2)), (9, sorted_at(held(9), 6))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    met = {(r["doc_id"], r["partner_id"]) for r in substring.near_passages(df).collect()}
+    assert met == {(8, 9), (9, 8)}
+
+
 @pytest.mark.parametrize("words", [50, 60, 80, 100])
 def test_edited_passages_are_found(words):
     """A passage with a word changed anywhere, in foreign surroundings, that meets the threshold."""
