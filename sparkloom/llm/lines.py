@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash over character shingles, with DataFrame functions only.
 
 A line's shingles are its substrings of ``SHINGLE`` characters; lines are duplicates if the Jaccard
-similarity of their shingle sets is high enough. Signatures are made of shingles that start with words,
-a sixth of all, of every shingle in lines of few words. The hashes are sorted once;
+similarity of their shingle sets is high enough. Signatures are made of every shingle, whatever the
+words of a line, so a key is shared as the similarity has it. The hashes are sorted once;
 the space of hashes has eight equal parts, and a band's key hashes the three lowest hashes from the
 start of a part, which two lines share with probability J**3: at 0.8, 99.7 in 100 pairs share a key.
 
@@ -23,8 +23,6 @@ from .components import components
 
 SHINGLE = 8
 EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
-#: Lines with fewer words than the first use every shingle in their signature, from the second on those that start words; in between, both.
-FEW, MANY = 12, 16
 BROADCAST_ROWS = 500_000
 
 
@@ -37,11 +35,6 @@ def every_shingle(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), lambda s: F.xxhash64(s))
 
 
-def word_shingles(words: Column) -> Column:
-    """From each word's start up to the third character of the next word."""
-    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, F.substring(b, 1, 3)))
-
-
 def band_keys(hashes: Column) -> Column:
     """For each eighth of the hash space that a set has hashes in, a hash of the three lowest from there on."""
     part = lambda x: F.shiftright(x, 61)
@@ -53,21 +46,15 @@ def band_keys(hashes: Column) -> Column:
     return bound(F.sort_array(F.array_distinct(hashes)), lambda s: F.when(F.size(s) > 0, keys(s)).otherwise(F.array().cast("array<long>")))
 
 
-def of_shingles(line: Column, f) -> Column:
-    """``f`` of the hashes that a line's signature is made of."""
-    words, every = lambda w: f(word_shingles(w)), lambda: f(every_shingle(line))
-    return bound(F.split(line, " "), lambda w: F.when(F.size(w) >= MANY, words(w)).when(F.size(w) >= FEW, F.concat(words(w), every())).otherwise(every()))
-
-
 def signature(line: Column) -> Column:
-    return of_shingles(line, band_keys)
+    return band_keys(every_shingle(line))
 
 
 def lowest(line: Column) -> Column:
-    """For each sixteenth of the hash space that a line's signature shingles have hashes in, the lowest of these."""
+    """For each sixteenth of the hash space that a line's shingles have hashes in, the lowest of these."""
     part = lambda x: F.shiftright(x, 60)
     firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (part(x) != part(F.get(s, i - 1))))
-    return of_shingles(line, lambda hashes: bound(F.sort_array(F.array_distinct(hashes)), firsts))
+    return bound(F.sort_array(F.array_distinct(every_shingle(line))), firsts)
 
 
 def _agree(a: Column, b: Column) -> Column:

@@ -347,6 +347,13 @@ def test_lines(spark, docs, empty, rows):
     assert everything.count() == len(rows) and set(docs.columns) <= set(everything.columns)
 
 
+def test_lines_of_other_token_counts_are_linked(spark):
+    line = "abcdefgh ijklmno pqrstu vwxyzab cdefgh ijkl mnopqr stuvwxyzabcdefg"
+    blob, rest = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1500)), lambda x: " ".join(f"{x}{i}" for i in range(20))
+    df = spark.createDataFrame([(1, line), (2, " " * 8 + line), (3, blob + " " + rest("p")), (4, blob + " " + rest("q"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_lines_stay_in_the_engine(docs):
     for df in (lines.dedup_lines(docs), quality.judge(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
