@@ -7,25 +7,29 @@ byte. With the statistics frozen, a text's code length in a language is a sum ov
 language with the shortest code is predicted.
 
 Counting is one aggregation of byte strings of one to four bytes over all labelled texts, counted
-first in each task. The trees, at most ``max_nodes`` strings of each length and language (the most
-frequent), are what is broadcast: a size that does not depend on the corpus.
+first in each task. All languages and all counted strings are kept, in a table in the shared folder.
+Languages are scored in groups: a group's trees are collected and broadcast by themselves, at most
+``GROUP`` strings unless one language has more, and a worker holds one group at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, save
 
 ORDER, PAD = 3, b"\n\n\n"
 SEGMENT = 1 << 20
+#: Strings in a group of languages, and code lengths in its table.
+GROUP, TABLE = 4_000_000, 1 << 26
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -133,12 +137,55 @@ class Model:
         return np.add.reduceat(np.vstack([each, np.zeros((1, each.shape[1]), np.float32)]), edges.clip(max=len(each)), axis=0, dtype=np.float64)[::2]
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_nodes: int = 200_000, max_languages: int = 256) -> Model:
-    """Trees from every row with text and language; a null or empty text adds nothing, a null language is left out.
+@dataclass
+class Learned:
+    """All languages in order, in groups, and the table ``lang, depth, code, n`` of their strings."""
+
+    groups: list[list[str]]
+    nodes: DataFrame
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for group in self.groups for x in group]
+
+    def models(self) -> Iterator[Model]:
+        """The groups' models, one at a time."""
+        for group in self.groups:
+            found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+            table = self.nodes.where(F.col("lang").isin(group)).sort("lang", "depth", "code").toArrow()
+            lang, depth = table["lang"].combine_chunks().dictionary_encode(), table["depth"].to_numpy()
+            code, n = table["code"].to_numpy().astype(np.uint32), table["n"].to_numpy().astype(np.float64)
+            which = lang.indices.to_numpy().astype(np.int64) * (ORDER + 1) + depth
+            cut = [0, *(np.nonzero(np.diff(which))[0] + 1).tolist(), len(which)]
+            for i, j in zip(cut, cut[1:]):  # noqa: B905
+                found[lang[i].as_py(), int(depth[i])] = code[i:j], n[i:j]
+            yield Model(group, [Tree([found[x, d][0] for d in range(ORDER + 1)], [found[x, d][1] for d in range(ORDER + 1)]) for x in group])
+
+    @cached_property
+    def trees(self) -> list[Tree]:
+        """All trees at once; nothing here needs them."""
+        return [t for m in self.models() for t in m.trees]
 
-    Only the ``max_languages`` languages with most text, and of each the ``max_nodes`` most frequent
-    strings of each length (ties: the smaller), are kept.
-    """
+    def bits(self, data: list[bytes]) -> np.ndarray:
+        """Code lengths of each text in each language."""
+        return np.concatenate([np.zeros((len(data), 0)), *(m.bits(data) for m in self.models())], axis=1)
+
+
+def grouped(sizes: list[tuple[str, int]], group: int, table: int) -> list[list[str]]:
+    """Languages in order, in groups of at most ``group`` strings and ``table`` code lengths, or of one language."""
+    out: list[list[str]] = []
+    total = 0
+    for lang, n in sorted(sizes):
+        total += n
+        if not out or total > group or total * (len(out[-1]) + 1) > table:
+            out.append([])
+            total = n
+        out[-1].append(lang)
+    return out
+
+
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", group: int = GROUP) -> Learned:
+    """Trees from every row with text and language; a null or empty text adds nothing, a null language is left out."""
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +212,12 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(np.full(len(codes), order), pa.int32()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "depth", "code", "n"])
 
     nodes = rows.mapInArrow(count, "lang string, depth int, code long, n long").groupBy("lang", "depth", "code").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "depth").orderBy(F.desc("n"), "code")
-    kept = nodes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_nodes).groupBy("lang", "depth").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("nodes"))
-    found: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for r in kept.select("lang", "depth", "nodes.code", "nodes.n").toArrow().to_batches():
-        for i in range(r.num_rows):
-            found.setdefault(r["lang"][i].as_py(), {})[r["depth"][i].as_py()] = r["code"][i].values.to_numpy().astype(np.uint32), r["n"][i].values.to_numpy().astype(np.float64)
-    langs = sorted(sorted(found, key=lambda x: -found[x][0][1].sum())[:max_languages])
-    return Model(langs, [Tree([found[x][d][0] for d in range(ORDER + 1)], [found[x][d][1] for d in range(ORDER + 1)]) for x in langs])
+    nodes = save(nodes, "language-nodes")
+    sizes = nodes.groupBy("lang").count().collect()
+    return Learned(grouped([(r["lang"], r["count"]) for r in sizes], group, TABLE), nodes)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", evidence: int = 16) -> DataFrame:
+def predict(docs: DataFrame, model: Learned, *, text_col: str = "text", evidence: int = 16) -> DataFrame:
     """Each row with ``lang_pred, score, bits_per_byte``, from its whole text alone.
 
     ``lang_pred`` is the language of the shortest code (ties: the first by name), ``und`` where the text
@@ -184,27 +226,34 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", evidence:
     each, an empty table gives none; all columns come back, but for those of the three names above,
     which are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [docs.sparkSession.sparkContext.broadcast(m) for m in model.models()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        letter, m = regex.compile(r"\p{L}"), sent.value
+        letter = regex.compile(r"\p{L}")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                text = part.column(text_col).to_pylist()
-                known = [bool(t and m.languages and letter.search(t)) for t in text]
-                data = [t.encode() if k else b"" for t, k in zip(text, known, strict=True)]
-                bits = m.bits(data) if m.languages else np.zeros((len(text), 1))
-                rate = bits / np.maximum(1, [len(d) for d in data])[:, None]
-                best = rate.argmin(axis=1)
-                low = rate[np.arange(len(text)), best]
-                share = 1 / np.exp2(-evidence * (rate - low[:, None])).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array([m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0))],
-                    [*names, "lang_pred", "score", "bits_per_byte"],
-                )
+            text = batch.column(text_col).to_pylist()
+            known = np.array([bool(t and sent and letter.search(t)) for t in text], bool)
+            told, low, total = np.full(len(text), "und", object), np.full(len(text), np.inf), np.zeros(len(text))
+            for part in sent if known.any() else []:
+                m = part.value
+                for at in range(0, len(text), 500):
+                    own = np.nonzero(known[at : at + 500])[0] + at
+                    data = [text[i].encode() for i in own]
+                    rate = m.bits(data) / np.array([len(d) for d in data])[:, None]
+                    best = rate.argmin(axis=1)
+                    least = rate[np.arange(len(own)), best]
+                    new = np.minimum(low[own], least)
+                    total[own] = total[own] * np.exp2(-evidence * (low[own] - new)) + np.exp2(-evidence * (rate - new[:, None])).sum(axis=1)
+                    won = least < low[own]
+                    told[own[won]] = np.array(m.languages, object)[best[won]]
+                    low[own] = new
+                if len(sent) > 1 and getattr(part, "_path", None):  # it is read again for the next batch
+                    del m
+                    part.__dict__.pop("_value", None)
+            score = np.where(known, 1 / np.where(known, total, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(told.tolist(), pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0))], [*names, "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.drop("lang_pred", "score", "bits_per_byte")
     names = rows.columns

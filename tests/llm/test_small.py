@@ -162,6 +162,19 @@ def test_language(spark, docs, empty):
         assert sum(2.0 ** -tree.bits(np.array([(97 << 24) | (97 << 16) | (97 << 8) | b], np.uint32))[0] for b in range(256)) <= 1.0001
 
 
+def test_all_languages_and_strings_are_kept(spark):
+    r = random.Random(6)
+    made = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) * (3 if i < 300 else 1), f"l{i:03}") for i in range(301)]
+    df = spark.createDataFrame(made + [(900, "".join(map(chr, r.choices(range(0x4E00, 0x9FFF), k=200_000))), "zz")], "doc_id long, text string, lang string")
+    one, many = language.train(df), language.train(df, group=3_000)
+    assert len(one.languages) == 302 and one.languages == many.languages and len(many.groups) > 2
+    told, again = ({x["doc_id"]: x for x in language.predict(df.where("doc_id < 900"), m).collect()} for m in (one, many))
+    assert all(told[i]["lang_pred"] == lang and again[i]["lang_pred"] == lang for i, _, lang in made)
+    assert all(told[i]["score"] == pytest.approx(again[i]["score"], rel=1e-6) for i in told)
+    size = {(x["lang"], x["depth"]): x["n"] for x in one.nodes.groupBy("lang", "depth").agg(F.sum("n").alias("n")).collect()}
+    assert {size["zz", d] for d in range(4)} == {600_000} and one.nodes.where("lang = 'zz' AND depth = 3").count() > 200_000
+
+
 def brute_components(rows, words, percent):
     sets = []
     for _, t, *_ in rows:
