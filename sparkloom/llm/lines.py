@@ -1,16 +1,18 @@
 """Fuzzy line dedup by MinHash over character shingles, with DataFrame functions only.
 
 A line's shingles are its substrings of ``SHINGLE`` characters; lines are duplicates if the Jaccard
-similarity of their shingle sets is high enough. Signatures are made of every shingle, whatever the
-words of a line, so a key is shared as the similarity has it. The hashes are sorted once;
-the space of hashes has eight equal parts, and a band's key hashes the three lowest hashes from the
+similarity of their shingle sets is high enough. Every shingle is hashed, whatever the words of a line:
+a line is encoded with four bytes a character, so that a shingle is a slice of bytes at a known place.
+The space of hashes has eight equal parts, and a band's key hashes the three lowest hashes from the
 start of a part, which two lines share with probability J**3: at 0.8, 99.7 in 100 pairs share a key.
 
-Distinct lines with a common key are candidates, if a third of the lowest hashes in each sixteenth of
-the space agree too. All are first held against one hub, of their keys' hubs the one that they share
-most keys with; a key's hub is the line whose keys are the most common. The pairs whose exact similarity holds are joined to components by a
-distributed union-find, and then members of different components of a key are compared. One line of
-each component stays, the first by document id and place.
+Distinct lines with a common key are candidates. All are first held against one hub, of their keys'
+hubs the one that they share most keys with; a key's hub is the line whose keys are the most common.
+The pairs whose exact similarity holds are joined to components by a distributed union-find, and then
+members of different components of a key are compared, each pair under the first key that it shares.
+Both times a sketch, the lowest hashes of each line, goes along and drops what can't be similar inside
+the join; the exact similarity is taken from the lines themselves. One line of each component stays,
+the first by document id and place.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from .common import read, save
 from .components import components
 
 SHINGLE = 8
-EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
+#: Of so many hashes from the start of an eighth, with repeated shingles, the three lowest are taken.
+REPEATS = 12
+#: Bits of a line's sketch.
+BITS = 1024
 BROADCAST_ROWS = 500_000
 
 
@@ -32,41 +37,69 @@ def bound(x: Column, f) -> Column:
 
 
 def every_shingle(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), lambda s: F.xxhash64(s))
+    """A hash of each shingle, in order; none for a line of fewer characters."""
+    wide, step = 4 * SHINGLE, F.lit(4)
+    at = lambda b: F.sequence(F.lit(1), F.octet_length(b) - wide + 1, step)
+    slices = lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substr(b, i, F.lit(wide))))
+    return bound(F.encode(line, "UTF-32"), lambda b: F.when(F.octet_length(b) >= wide, slices(b)).otherwise(F.array().cast("array<long>")))
 
 
-def band_keys(hashes: Column) -> Column:
-    """For each eighth of the hash space that a set has hashes in, a hash of the three lowest from there on."""
-    part = lambda x: F.shiftright(x, 61)
+def postings(lines: DataFrame) -> DataFrame:
+    """``h, slot, key`` for each line ``h, line``: for each eighth of the hash space, a hash of the three lowest from there on.
 
-    def keys(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (part(F.get(s, i)) != part(F.get(s, i - 1))))
-        return F.transform(first, lambda i: F.xxhash64(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2)))
+    The bounds of the eighths are sorted along with the hashes, so a bound's place is where its eighth
+    begins; an eighth without hashes has a null key. Only the beginning of each eighth is sorted, the
+    shorter the more shingles there are: of 64 to 127 in all, the three lowest of an eighth are among them.
+    """
+    ends = [*((p << 61) for p in range(-4, 4)), (1 << 63) - 1]
+    halvings = F.floor(F.log2(F.greatest(F.size("all"), F.lit(64)) / 64)).cast("int")
+    limit = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(61) - halvings)
+    low = bound(limit, lambda most: F.filter("all", lambda x: x.bitwiseAND(F.lit((1 << 61) - 1)) < most))
+    rows = lines.select("h", every_shingle(F.col("line")).alias("all")).select("h", F.sort_array(F.concat(low, F.array(*map(F.lit, ends)))).alias("low"))
+    each = rows.select("h", "low", F.posexplode(F.array(*map(F.lit, ends[:8]))).alias("slot", "begin"))
+    at = F.array_position("low", F.col("begin")).cast("int")
+    key = F.when(F.get("low", at) != F.get(F.array(*map(F.lit, ends[1:])), F.col("slot")), F.xxhash64(F.slice(F.array_distinct(F.slice("low", at + 1, F.lit(REPEATS))), 1, 3)))
+    return each.select("h", "slot", key.alias("key"))
 
-    return bound(F.sort_array(F.array_distinct(hashes)), lambda s: F.when(F.size(s) > 0, keys(s)).otherwise(F.array().cast("array<long>")))
 
+def with_sketch(lines: DataFrame, key: str) -> DataFrame:
+    """``key, n, halvings, w0..``: of each line the number of shingles, and bits that each is the parity of some of them.
 
-def signature(line: Column) -> Column:
-    return band_keys(every_shingle(line))
+    Of more than ``BITS`` / 2 shingles those count whose hash begins so many bits with zeros that fewer are left.
+    """
+    words = BITS // 64
+    all_ = lines.select(key, F.array_distinct(every_shingle(F.col("line"))).alias("_all"))
+    sized = all_.select(key, F.size("_all").alias("n"), F.ceil(F.log2(F.greatest(F.size("_all") / (BITS // 2), F.lit(1.0)))).cast("int").alias("halvings"), F.explode("_all").alias("x"))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(63) - F.col("halvings"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("x"), F.lit(6)).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.col("x").bitwiseAND(F.lit(words - 1))
+    some = F.col("x").bitwiseAND(F.lit((1 << 63) - 1)) < low
+    parity = [F.bit_xor(F.when((F.col("halvings") == 0) | some, F.when(word == i, bit).otherwise(F.lit(0))).otherwise(F.lit(0))).alias(f"w{i}") for i in range(words)]
+    return sized.groupBy(key, "n", "halvings").agg(*parity)
 
 
-def lowest(line: Column) -> Column:
-    """For each sixteenth of the hash space that a line's shingles have hashes in, the lowest of these."""
-    part = lambda x: F.shiftright(x, 60)
-    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (part(x) != part(F.get(s, i - 1))))
-    return bound(F.sort_array(F.array_distinct(every_shingle(line))), firsts)
+SKETCH = ["n", "halvings", *(f"w{i}" for i in range(BITS // 64))]
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """A third of the lowest hashes alike: at a similarity of 0.7, 11 of 16 are on average."""
-    return 3 * F.size(F.array_intersect(a, b)) >= F.least(F.size(a), F.size(b))
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether the lines of two sketches can be similar.
+
+    Each bit that differs needs a shingle that one line alone has, and similar lines have few of these.
+    That is exact where all shingles count; of thinned ones, as many are expected, and five deviations
+    more pass. Lines near the border of two thinnings pass.
+    """
+    differ = sum((F.bit_count(F.col(f"w{i}_{a}").bitwiseXOR(F.col(f"w{i}_{b}"))) for i in range(BITS // 64)), F.lit(0))
+    n, m, t = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"halvings_{a}")
+    most = (n + m) * ((100 - percent) / (100 + percent))
+    thinned = most / F.call_function("shiftleft", F.lit(1).cast("long"), t)
+    able = F.when(t == 0, differ <= most + 1e-6).otherwise(differ <= thinned + 5 * F.sqrt(thinned))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((t != F.col(f"halvings_{b}")) | able)
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of those candidate pairs whose full shingle sets are similar; ends are lines' digests."""
     for end in ("a", "b"):
-        pairs = pairs.join(lines.select(F.col("h").alias(f"h{end}"), F.col("line").alias(f"line_{end}"), F.col("digest").alias(end), F.col("lowest").alias(f"low_{end}")), f"h{end}")
-    pairs = pairs.where(_agree(F.col("low_a"), F.col("low_b")))
+        pairs = pairs.join(lines.select(F.col("h").alias(f"h{end}"), F.col("line").alias(f"line_{end}"), F.col("digest").alias(end)), f"h{end}")
     sets = F.struct(*(F.array_distinct(every_shingle(F.col(f"line_{end}"))).alias(end) for end in ("a", "b")))
     near = bound(sets, lambda z: bound(F.size(F.array_intersect(z["a"], z["b"])), lambda n: 100 * n >= percent * (F.size(z["a"]) + F.size(z["b"]) - n)))
     return save(pairs.where(near).select("a", "b"), "line-links")
@@ -87,30 +120,37 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     row = F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), text)).alias("_row")
 
-    placed = docs.where(text.isNotNull()).select(row, doc_id.cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.length(F.trim("line")) >= min_chars)
-    lines = save(placed.select("_row", "doc", "at", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("h"), signature(F.col("line")).alias("keys")), "line-places")
+    parted = docs.where(text.isNotNull()).select(row, doc_id.cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.length(F.trim("line")) >= min_chars)
+    lines = save(parted.select("_row", "doc", "at", F.unhex(F.md5("line")).alias("digest")), "line-places")
+    all_lines = docs.where(text.isNotNull()).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length(F.trim("line")) >= min_chars).withColumn("h", F.xxhash64("line"))
+    posted = save(postings(all_lines), "line-postings").where("key IS NOT NULL")
 
-    posted = lines.select("h", F.explode("keys").alias("key"))
     keys = posted.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     shared = save(posted.join(keys, "key").distinct(), "line-shared")
-    common = shared.groupBy("h").agg(F.sum("n").alias("common"))
-    hubs = shared.join(common, "h").groupBy("key").agg(F.max(F.struct("common", "h"))["h"].alias("hub"))
+    own = shared.groupBy("h").agg(F.sum("n").alias("common"), *(F.max(F.when(F.col("slot") == i, F.col("key"))).alias(f"k{i}") for i in range(8)))
+    own = save(own, "line-keys")
+    hubs = shared.join(own.select("h", "common"), "h").groupBy("key").agg(F.max(F.struct("common", "h"))["h"].alias("hub"))
     tried = shared.join(hubs, "key").where("h <> hub").groupBy(F.col("h").alias("ha"), F.col("hub").alias("hb")).agg(F.count("*").alias("n"))
-    main = save(tried.withColumn("r", F.row_number().over(Window.partitionBy("ha").orderBy(F.desc("n"), "hb"))).where("r = 1").select("ha", "hb"), "line-main")
+    main = tried.groupBy("ha").agg(F.max(F.struct("n", "hb"))["hb"].alias("hb"))
 
     # the text of the lines that have a key in common with others
-    wanted = shared.select("h").distinct()
+    wanted = own.select("h")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    all_lines = docs.where(text.isNotNull()).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length(F.trim("line")) >= min_chars)
-    some = save(all_lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").distinct().withColumns({"digest": F.unhex(F.md5("line")), "lowest": lowest(F.col("line"))}), "line-texts")
+    some = all_lines.join(wanted, "h", "left_semi").distinct()
+    some = save(some.withColumn("digest", F.unhex(F.md5("line"))), "line-texts")
+    sketches = save(with_sketch(some, "h"), "line-sketches")
 
-    first = _similar(main, some, percent)
+    pairs = main
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("h").alias(f"h{end}"), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), f"h{end}")
+    first = _similar(pairs.where(may_be_similar("a", "b", percent)).select("ha", "hb"), some, percent)
     roots = save(components(first, "a", "b"), "line-roots")
-    at = shared.select("key", "h").join(some.select("h", "digest", "lowest"), "h").join(roots, F.col("digest") == F.col("node"), "left").select("key", "h", "lowest", F.coalesce("root", "digest").alias("root"))
+    at = shared.select("key", "slot", "h").join(some.select("h", "digest"), "h").join(roots, F.col("digest") == F.col("node"), "left").select("key", "slot", "h", F.coalesce("root", "digest").alias("root"))
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    at = save(at.join(mixed, "key"), "line-mixed")
-    one, two = (at.select("key", F.col("h").alias(f"h{n}"), F.col("root").alias(f"r{n}"), F.col("lowest").alias(f"l{n}")) for n in ("a", "b"))
-    left = one.join(two, "key").where(F.expr("ha < hb AND ra <> rb") & _agree(F.col("la"), F.col("lb"))).select("ha", "hb").distinct().join(main.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")), ["ha", "hb"], "left_anti")
+    at = save(at.join(mixed, "key").join(sketches, "h").join(own.drop("common"), "h"), "line-mixed")
+    one, two = (at.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("slot", "h", "root", *(f"k{i}" for i in range(8)), *SKETCH))) for end in ("a", "b"))
+    met = F.expr("CASE " + " ".join(f"WHEN k{i}_a = k{i}_b THEN {i}" for i in range(8)) + " END")  # the first key in common
+    left = one.join(two, "key").where(F.expr("h_a < h_b AND root_a <> root_b") & (met == F.col("slot_a")) & may_be_similar("a", "b", percent)).select(F.col("h_a").alias("ha"), F.col("h_b").alias("hb"))
     links = first.unionByName(_similar(left, some, percent))
     roots = save(components(links, "a", "b"), "line-roots")
 
@@ -131,7 +171,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stay = F.array_join(bound(F.split(text, "\n"), lambda p: F.flatten(slices(p))), "\n")
     return rows.select(
         *((F.when(F.col("_gone").isNotNull(), stay).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in names),
-        F.coalesce(F.when(text.isNotNull(), F.length(text) - F.length(F.translate(text, "\n", "")) + 1), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(text.isNotNull(), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1), F.lit(0)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"),
     )
 
