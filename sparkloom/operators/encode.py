@@ -124,7 +124,9 @@ class VectorCache:
         keyed = rows.withColumn("_key", content_key(F.col(text_col), encoder.name))
         missing = keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("_text")).dropDuplicates(["key"]).join(self.read(), "key", "left_anti")
         missing.select("key", encoder.column(F.col("_text")).alias("vector")).write.mode("append").parquet(self.path)
-        return keyed.join(self.read().dropDuplicates(["key"]).withColumnsRenamed({"key": "_key", "vector": out}), "_key", "left").drop("_key")
+        asked = keyed.select(F.col("_key").alias("key")).distinct()
+        known = self.read().join(asked, "key", "left_semi").dropDuplicates(["key"])
+        return keyed.join(known.withColumnsRenamed({"key": "_key", "vector": out}), "_key", "left").drop("_key")
 
     def stats(self) -> DataFrame:
         return self.read().agg(F.count("*").alias("count"), F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("bytes"))

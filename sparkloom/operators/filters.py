@@ -13,7 +13,8 @@ from ..sources.project import CONTROL_KEYS
 
 def predicate(df: DataFrame, filters: dict[str, Any] | None) -> Column:
     """Equality; membership for a list of values; containment for an array column. A key that a row, or the
-    table, doesn't have fails. Keys that steer the search are passed over. Plain enough to reach the scan."""
+    table, doesn't have fails. Keys that steer the search are passed over. It is for ``where``: a row without
+    a value gives null, and a plain conjunction reaches partitions and row groups."""
     out = F.lit(True)
     types = {f.name: f.dataType for f in df.schema.fields}
     for key, value in (filters or {}).items():
@@ -27,7 +28,7 @@ def predicate(df: DataFrame, filters: dict[str, Any] | None) -> Column:
             out &= F.array_contains(key, value)
         else:
             out &= F.col(key) == F.lit(value)
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def apply(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.text import keyword_score, preview, relative_path
 from ..functions.vector import cosine, score
 from .filters import apply, predicate
 
+#: Weights of the vector, the keyword and the semantic list.
 WEIGHTS = (0.4, 0.2, 0.4)
 
 

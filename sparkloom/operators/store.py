@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview
 from ..functions.vector import METRICS, normalized
 from ..schema import STORE
+from .scratch import written
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,13 +22,19 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "ordinal", start: int = 0) -> DataFrame:
-    """Rows numbered in order without one task for all: range partitions, their counts, and numbers within each."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Rows numbered in order without one task for all: range partitions, their counts, and numbers within each.
+
+    The bounds of range partitions come from a sample, so two evaluations may cut the rows differently.
+    The rows are therefore written once, with their partition and place, and counted as they were written.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, "numbered")
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row for each partition
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1 + start).drop("_part", "_at", "_before")
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + at + start).drop("_part", "_at", "_before")
 
 
 def metadata(frags: DataFrame) -> DataFrame:

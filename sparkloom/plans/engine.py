@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from ..operators import search as ops
 from ..operators.encode import Coverage, HashedWords, TextEncoder, VectorCache
 from ..operators.fragments import embedding_text, fragments
 from ..operators.store import FragmentStore, store_stats, top5
-from ..sources.project import SearchRequest, parse, read_project
+from ..sources.project import SearchRequest, parse, read_any
 
 log = logging.getLogger(__name__)
 
@@ -59,7 +60,7 @@ class Engine:
         """Scan, parse, fragment, encode and add; ``reload`` starts the store anew."""
         if reload:
             self.store.clear()
-        frags = fragments(parse(read_project(self.spark, project)))
+        frags = fragments(parse(read_any(self.spark, project)))
         m = "metadata."
         text = embedding_text(F.col("type"), F.col("name"), F.col("content"), F.col(m + "component_name"), F.col(m + "props"), F.col(m + "components"), F.col(m + "file_name"))
         vectors = self.cache.encode(frags.select("id", text.alias("text")), "text", self.encoder).select("id", "embedding")
@@ -71,25 +72,39 @@ class Engine:
             scorer=self.scorer, weights=weights,
         )
 
+    def _hits(self, request: SearchRequest) -> DataFrame:
+        """A search's hits with what a response needs, run once: at most k rows, which are read by the driver."""
+        by = "cross_score" if request.rerank else "score"
+        hits = self.search(request).withColumn("position", F.row_number().over(Window.orderBy(F.desc(by), F.desc("score"), "ordinal")))
+        full = hits.join(self.store.read().select("id", "full_content", "component_name"), "id").orderBy("position")
+        return self.spark.createDataFrame(full.collect(), full.schema)
+
     def answer(self, request: SearchRequest) -> dict[str, Any]:
-        """A search as a response: the sink gets all hits, the caller those that component-first dedup leaves."""
+        """A search as a response: the sink gets all hits, the caller those that component-first dedup leaves.
+
+        If the pair scorer fails, the answer is the fused list, and says that it isn't reranked.
+        """
         import time
 
         began = time.time()
-        by = "cross_score" if request.rerank else "score"
-        hits = self.search(request).withColumn("position", F.row_number().over(Window.orderBy(F.desc(by), F.desc("score"), "ordinal")))  # at most k rows
-        full = hits.join(self.store.read().select("id", "full_content", "component_name"), "id").orderBy("position")
-        rows = ops.response(full, self.root)
+        try:
+            full = self._hits(request)
+        except Exception:
+            if not request.rerank:
+                raise
+            log.exception("the pair scorer failed; the fused list is given")
+            request = replace(request, rerank=False)
+            full = self._hits(request)
+        rows = [r.asDict() for r in ops.response(ops.component_first(full, F.col("position")), self.root).collect()]
         elapsed = time.time() - began
+        about = {"query": request.query, "elapsed_time": elapsed, "reranked": request.rerank, "requirement_id": request.requirement_id}
         if self.sink is not None:
-            sent = [r.asDict() for r in rows.drop("content").collect()]
+            sent = [r.asDict() for r in ops.response(full, self.root).drop("content").collect()]
             try:
-                self.sink({"query": request.query, "total_results": len(sent), "elapsed_time": elapsed, "reranked": request.rerank, "requirement_id": request.requirement_id, "results": sent})
+                self.sink(about | {"total_results": len(sent), "results": sent})
             except Exception:  # a sink's trouble is not the caller's
                 log.exception("the result sink failed")
-        kept = ops.response(ops.component_first(full, F.col("position")), self.root)
-        results = [r.asDict() for r in kept.collect()]
-        return {"query": request.query, "total_results": len(results), "elapsed_time": elapsed, "reranked": request.rerank, "requirement_id": request.requirement_id, "results": results}
+        return about | {"total_results": len(rows), "results": rows}
 
     def similar(self, id_: str, k: int = 5) -> DataFrame:
         return ops.similar(self.store.read(), id_, k, self.store.metric)

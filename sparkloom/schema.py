@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-FRAGMENT_TYPES = ("component", "template", "script", "style", "config", "css", "javascript", "html", "generic")
-
 SOURCE_FILES = "path string, file_name string, extension string, size long, raw_content string, error string, ignored boolean"
 PARSED_FILES = SOURCE_FILES + ", component_name string, template string, script string, style string, props array<string>, components array<string>"
 FRAGMENTS = (

@@ -88,6 +88,11 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out.join(failed, F.col("path") == F.col("p"), "left").withColumn("error", F.coalesce("error", F.when(~F.col("ignored"), F.col("failed")))).drop("p", "failed")
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Names that begin with a dot or an underscore are read wherever the tree is a folder; elsewhere Spark's reader passes over them."""
+    return read_project_local(spark, path) if os.path.isdir(path) else read_project(spark, path)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Source files with their components' sections; only names in ``.vue`` have any."""
     own = (F.col("extension") == ".vue") & F.col("raw_content").isNotNull()
@@ -105,7 +110,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXAMPLES).json(path, multiLine=True)
 
 
-#: Keys of a request's filters that don't filter.
+#: Keys of a request's filters that don't filter.
 CONTROL_KEYS = ("rerank", "ensemble_weight", "ensemble_weights", "query_text")
 
 

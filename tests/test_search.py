@@ -97,6 +97,66 @@ def test_numbered(spark):
     assert [r["ordinal"] for r in store.numbered(df, [F.col("id")]).orderBy("id").collect()] == list(range(100))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbered_wide(spark, tmp_path, adaptive):
+    """Many wide rows over many partitions: the sampled bounds of two evaluations would differ."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 3_000_000
+        key = F.md5(F.col("id").cast("string"))
+        rows = spark.range(n).select("id", key.alias("key"), F.concat(*[F.sha2(F.concat("id", F.lit(i)), 256) for i in range(2)]).alias("wide"))
+        out = str(tmp_path / "numbered")
+        store.numbered(rows, [F.col("key"), F.col("id")], start=5).write.parquet(out)
+        got = spark.read.parquet(out)
+        assert got.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first() == (n, 5, n + 4)
+        edge = got.orderBy("key", "id").limit(1000).select("ordinal").collect()
+        assert [r[0] for r in edge] == list(range(5, 1005))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_filters_are_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(100).select(F.col("id").cast("string").alias("name"), (F.col("id") % 3).cast("string").alias("type")).write.partitionBy("type").parquet(path)
+    plan = filters.apply(spark.read.parquet(path), {"type": "1", "name": ["7", "8"]})._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(type" in scan and "PushedFilters: [In(name" in scan
+
+
+class Broken:
+    name = "broken"
+
+    def column(self, query, passage):
+        return F.raise_error(F.concat(F.lit("no model for "), passage)).cast("double")
+
+
+def test_answer_without_scorer(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for name in ("a.js", ".h.js", "_h.js"):
+        (src / name).write_text(f"const item = '{name}'")
+    engine = Engine(spark, str(tmp_path / "data"), scorer=Broken())
+    engine.index(str(src))
+    assert engine.status()["fragments"] == 3  # names that begin with a dot or an underscore too
+    got = engine.answer(SearchRequest("item", k=2, rerank=True))
+    assert not got["reranked"] and got["total_results"] == 2
+
+
+def test_plugins(spark):
+    def make():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
+    batch = encode.BatchEncoder("len", 2, make, batch_size=2, normalize=False)
+    assert sorted(r[0] for r in rows.select(batch.column(F.col("t"))).collect()) == [[0.0, 1.0], [2.0, 1.0], [4.0, 1.0]]
+    assert batch.query("abc") == [3.0, 1.0]
+    scorer = encode.BatchScorer("overlap", lambda: lambda q, ps: [len(set(q) & set(p)) for p in ps], batch_size=2)
+    assert sorted(r[0] for r in rows.select(scorer.column("bcd", F.col("t"))).collect()) == [0.0, 1.0, 3.0]
+
+
 def test_training(spark, tmp_path):
     path = tmp_path / "examples.json"
     path.write_text(json.dumps([{"fragment_type": "css", "fragment_path": f"p{i}", "fragment_summary": f"s{i}", "questions": [f"q{i}", f"r{i}"]} for i in range(6)]))
