@@ -8,11 +8,13 @@ start of a part, which two lines share with probability J**3: at 0.8, 99.7 in 10
 
 Distinct lines with a common key are candidates. All are first held against one hub, of their keys'
 hubs the one that they share most keys with; a key's hub is the line whose keys are the most common.
-The pairs whose exact similarity holds are joined to components by a distributed union-find, and then
-members of different components of a key are compared, each pair under the first key that it shares.
-Both times a sketch, the lowest hashes of each line, goes along and drops what can't be similar inside
-the join; the exact similarity is taken from the lines themselves. One line of each component stays,
-the first by document id and place.
+The pairs whose exact similarity holds are joined to components by a distributed union-find. Where a key
+still has several components, its lines are put in random orders, and each is held against a few before
+it: that joins nearly all of what belongs together with a number of pairs in proportion to the lines.
+Then the lines outside the main component of a key are compared with all lines of other components
+there, each pair under the first key that it shares. A sketch, parities of each line's hashes, drops what
+can't be similar inside the joins; the exact similarity is taken from the lines themselves. One line of
+each component stays, the first by document id and place.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ from .components import components
 SHINGLE = 8
 #: Of so many hashes from the start of an eighth, with repeated shingles, the three lowest are taken.
 REPEATS = 12
-#: Bits of a line's sketch.
-BITS = 1024
+#: Bits of a line's sketch, and the shingles beyond which only some count for it.
+BITS, THIN = 1024, 2048
 BROADCAST_ROWS = 500_000
+#: Each random order of a key's lines is cut in parts of about so many, and a line is held against so many before it.
+PART, REACH = 512, 4
+#: Seeds of the random orders.
+ORDERS = (1, 2)
 
 
 def bound(x: Column, f) -> Column:
@@ -62,14 +68,22 @@ def postings(lines: DataFrame) -> DataFrame:
     return each.select("h", "slot", key.alias("key"))
 
 
-def with_sketch(lines: DataFrame, key: str) -> DataFrame:
+def level(n: Column) -> Column:
+    """How many times the shingles are halved for a sketch: as often as more than ``THIN`` would be left."""
+    return F.ceil(F.log2(F.greatest(n / THIN, F.lit(1.0)))).cast("int")
+
+
+def with_sketch(lines: DataFrame, key: str, percent: int) -> DataFrame:
     """``key, n, halvings, w0..``: of each line the number of shingles, and bits that each is the parity of some of them.
 
-    Of more than ``BITS`` / 2 shingles those count whose hash begins so many bits with zeros that fewer are left.
+    Halved, those shingles count whose hash begins with so many zero bits. A line that may be similar to
+    one that is halved once more has a second row, with that sketch.
     """
     words = BITS // 64
-    all_ = lines.select(key, F.array_distinct(every_shingle(F.col("line"))).alias("_all"))
-    sized = all_.select(key, F.size("_all").alias("n"), F.ceil(F.log2(F.greatest(F.size("_all") / (BITS // 2), F.lit(1.0)))).cast("int").alias("halvings"), F.explode("_all").alias("x"))
+    all_ = lines.select(key, F.array_distinct(every_shingle(F.col("line"))).alias("_all")).withColumn("n", F.size("_all"))
+    border = F.call_function("shiftleft", F.lit(THIN).cast("long"), level(F.col("n")))
+    levels = bound(level(F.col("n")), lambda t: F.when(100 * F.col("n") >= percent * border, F.array(t, t + 1)).otherwise(F.array(t)))
+    sized = all_.select(key, "n", "_all", F.explode(levels).alias("halvings")).select(key, "n", "halvings", F.explode("_all").alias("x"))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(63) - F.col("halvings"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("x"), F.lit(6)).bitwiseAND(F.lit(63)).cast("int"))
     word = F.col("x").bitwiseAND(F.lit(words - 1))
@@ -82,18 +96,19 @@ SKETCH = ["n", "halvings", *(f"w{i}" for i in range(BITS // 64))]
 
 
 def may_be_similar(a: str, b: str, percent: int) -> Column:
-    """Whether the lines of two sketches can be similar.
+    """Whether the lines of two sketches of one level, that of the longer line, can be similar.
 
-    Each bit that differs needs a shingle that one line alone has, and similar lines have few of these.
-    That is exact where all shingles count; of thinned ones, as many are expected, and five deviations
-    more pass. Lines near the border of two thinnings pass.
+    Similar lines have at most ``most`` shingles that one alone has. Each bit that differs needs one, so
+    more bits than that can't differ; as some fall on the same bit, fewer are expected, and five standard
+    deviations more (under 12 bits each) pass. Of halved shingles the number itself may deviate by five.
     """
     differ = sum((F.bit_count(F.col(f"w{i}_{a}").bitwiseXOR(F.col(f"w{i}_{b}"))) for i in range(BITS // 64)), F.lit(0))
     n, m, t = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"halvings_{a}")
     most = (n + m) * ((100 - percent) / (100 + percent))
-    thinned = most / F.call_function("shiftleft", F.lit(1).cast("long"), t)
-    able = F.when(t == 0, differ <= most + 1e-6).otherwise(differ <= thinned + 5 * F.sqrt(thinned))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((t != F.col(f"halvings_{b}")) | able)
+    half = most / F.call_function("shiftleft", F.lit(1).cast("long"), t)
+    count = F.when(t == 0, most + 1e-6).otherwise(half + 5 * F.sqrt(half))
+    able = differ <= F.least(count, BITS / 2 * (1 - F.exp(-2 / BITS * count)) + 60)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (t == F.col(f"halvings_{b}")) & (t == level(F.greatest(n, m))) & able
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -105,6 +120,22 @@ def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return save(pairs.where(near).select("a", "b"), "line-links")
 
 
+def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, slot, h, root, n``: the lines of keys that have several components; n is their number."""
+    at = keyed.join(roots, F.col("digest") == F.col("node"), "left").select("key", "slot", "h", F.coalesce("root", "digest").alias("root"))
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    return at.join(several, "key")
+
+
+def _neighbours(at: DataFrame, seed: int) -> DataFrame:
+    """``ha, hb`` of different components that lie near each other in a random order of their key's lines."""
+    part = F.pmod(F.xxhash64("h", F.lit(seed)), F.ceil(F.col("n") / PART)).alias("part")
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("h", F.lit(-seed)), "h")
+    before = F.array(*(F.lag(F.struct("h", "root"), i).over(order) for i in range(1, REACH + 1)))
+    pairs = at.select("key", "h", "root", part).select("h", "root", before.alias("before")).select("h", "root", F.explode("before").alias("m")).where("m.root <> root")
+    return pairs.select(F.least("h", "m.h").alias("ha"), F.greatest("h", "m.h").alias("hb")).distinct()
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 20) -> DataFrame:
     """The input with its text reduced to the lines that stay, and ``n_lines, n_removed, removed_lines``.
 
@@ -138,20 +169,30 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     some = all_lines.join(wanted, "h", "left_semi").distinct()
     some = save(some.withColumn("digest", F.unhex(F.md5("line"))), "line-texts")
-    sketches = save(with_sketch(some, "h"), "line-sketches")
+    sketches = save(with_sketch(some, "h", percent), "line-sketches")
+
+    def able(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("h").alias(f"h{end}"), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), f"h{end}")
+        return pairs.where(may_be_similar("a", "b", percent)).select("ha", "hb")
+
+    links = _similar(able(main), some, percent)
+    keyed = save(shared.select("key", "slot", "h").join(some.select("h", "digest"), "h"), "line-keyed")
+    for seed in ORDERS:
+        roots = save(components(links, "a", "b"), "line-roots")
+        at = save(_mixed(keyed, roots), "line-mixed")
+        links = links.unionByName(_similar(able(_neighbours(at, seed)), some, percent))
+    roots = save(components(links, "a", "b"), "line-roots")
 
-    pairs = main
-    for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("h").alias(f"h{end}"), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), f"h{end}")
-    first = _similar(pairs.where(may_be_similar("a", "b", percent)).select("ha", "hb"), some, percent)
-    roots = save(components(first, "a", "b"), "line-roots")
-    at = shared.select("key", "slot", "h").join(some.select("h", "digest"), "h").join(roots, F.col("digest") == F.col("node"), "left").select("key", "slot", "h", F.coalesce("root", "digest").alias("root"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    at = save(at.join(mixed, "key").join(sketches, "h").join(own.drop("common"), "h"), "line-mixed")
-    one, two = (at.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("slot", "h", "root", *(f"k{i}" for i in range(8)), *SKETCH))) for end in ("a", "b"))
+    # what is left: lines outside their key's main component against those of the others
+    at = _mixed(keyed, roots).join(sketches.withColumnRenamed("n", "size"), "h").join(own.drop("common"), "h").drop("n").withColumnRenamed("size", "n")
+    at = save(at, "line-mixed")
+    most = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    one, two = (at.join(most, "key").select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("slot", "h", "root", "main", *(f"k{i}" for i in range(8)), *SKETCH))) for end in ("a", "b"))
     met = F.expr("CASE " + " ".join(f"WHEN k{i}_a = k{i}_b THEN {i}" for i in range(8)) + " END")  # the first key in common
-    left = one.join(two, "key").where(F.expr("h_a < h_b AND root_a <> root_b") & (met == F.col("slot_a")) & may_be_similar("a", "b", percent)).select(F.col("h_a").alias("ha"), F.col("h_b").alias("hb"))
-    links = first.unionByName(_similar(left, some, percent))
+    once = F.expr("root_a <> root_b AND (root_b = main_b OR h_a < h_b)")
+    left = one.where("root_a <> main_a").join(two, "key").where(once & (met == F.col("slot_a")) & may_be_similar("a", "b", percent)).select(F.col("h_a").alias("ha"), F.col("h_b").alias("hb"))
+    links = links.unionByName(_similar(left, some, percent))
     roots = save(components(links, "a", "b"), "line-roots")
 
     # the first place of each component, and so what goes
