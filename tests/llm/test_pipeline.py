@@ -92,7 +92,7 @@ def test_near_stage(stages):
 def test_suffix_stage(stages):
     rows, kept = table(stages[3]), table(stages[4])
     ids = sorted(rows)
-    for i, (n, removed, _, _) in zip(ids, brute_repeats([rows[i]["text"].encode() for i in ids], 400), strict=True):
+    for i, (n, removed, _, _) in zip(ids, brute_repeats([rows[i]["text"].encode() for i in ids], corpus_pipeline.PASSAGE_BYTES), strict=True):
         if removed < n:
             assert n - removed - 6 <= len(kept[i]["text"].encode()) <= n - removed
 

@@ -123,6 +123,15 @@ def test_packing(docs, empty, rows):
     assert packing.pack_texts(empty, WORD).count() == 0
 
 
+def test_units():
+    """Short cuts of the unit table against the tokenizer on whole texts."""
+    tok = packing.load_tokenizer(WORD)
+    words = ["Abc.", "abc", "it's.", "don't!?", "x<|endoftext|>y", "<", "|>", "a.b.", "7.", "é.", "E\u0301!", "...", "", "日本語。", "ß;", "<|endoftext", "|endoftext|>", "#*$%&|", "a|>", "\t.", "ΑΣ."]
+    texts = [" ".join(words), *words, None, "", "\n".join(words), " ".join(w + t for w in words for t in packing.Units.TAIL)]
+    got = list(packing.encode_units(texts, WORD))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packer_limits():
     r = random.Random(3)
     for max_segments, max_loss in ((4, 64), (64, 20), (2, 64)):
