@@ -23,6 +23,8 @@ from sparkloom.llm.suffix import remove_repeats
 MIN_SCORE = 0.5
 #: Lines of fewer characters never go.
 MIN_CHARS = 20
+#: Bytes of a repeated passage that goes: 51 words of prose have more in 99 of 100 cases (315 in the middle).
+PASSAGE_BYTES = 200
 
 
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
@@ -54,9 +56,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: repeated 400-byte passages go; so does a document of which nothing but blanks is left."""
-    out = remove_repeats(docs)
-    left = out.where((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
+    """Suffix-array dedup: repeated passages of ``PASSAGE_BYTES`` go; so does a document of which only white space is left."""
+    out = remove_repeats(docs, length=PASSAGE_BYTES, gram=64)
+    left = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     return _with_text(left, docs.columns, F.col("kept_text"))
 
 
