@@ -58,6 +58,24 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_sparkloom_cache", {})
 
 
+def forget() -> None:
+    """Give back what other operators keep in this worker: a pipeline's stages share workers."""
+    cache = worker_cache()
+    if not cache:
+        return
+    cache.clear()
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def load_tokenizer(path: str):
     """The ``tokenizers`` tokenizer of a .json file, one per worker, without truncation or padding."""
     cache = worker_cache()

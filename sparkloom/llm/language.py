@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, save
+from .common import forget, read, save
 
 ORDER, PAD = 3, b"\n\n\n"
 SEGMENT = 1 << 20
@@ -127,14 +127,16 @@ class Model:
         codes = grams(np.frombuffer(b"".join(padded), np.uint8))
         i = slots[self.slot(codes)]
         miss = np.nonzero(known[i] != codes)[0] if len(known) else np.arange(len(codes))
-        each = lengths[i] if len(known) else np.zeros((len(codes), len(self.trees)), np.float32)
+        each = np.zeros((len(codes) + 1, len(self.trees)), np.float32)  # and a row after the last
+        if len(known):
+            np.take(lengths, i, axis=0, out=each[:-1], mode="clip")
         if len(miss):
             rare, at = np.unique(codes[miss], return_inverse=True)
             each[miss] = np.stack([t.bits(rare) for t in self.trees], axis=1).astype(np.float32)[at]
         sizes = np.array([len(p) for p in padded])
         start = np.cumsum(sizes) - sizes
         edges = np.stack([start, start + sizes - 3], axis=1).ravel()
-        return np.add.reduceat(np.vstack([each, np.zeros((1, each.shape[1]), np.float32)]), edges.clip(max=len(each)), axis=0, dtype=np.float64)[::2]
+        return np.add.reduceat(each, edges.clip(max=len(codes)), axis=0, dtype=np.float64)[::2]
 
 
 @dataclass
@@ -189,6 +191,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", gr
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         held: dict[str, list[np.ndarray]] = {}
 
@@ -231,6 +234,7 @@ def predict(docs: DataFrame, model: Learned, *, text_col: str = "text", evidence
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        forget()
         letter = regex.compile(r"\p{L}")
         for batch in batches:
             text = batch.column(text_col).to_pylist()

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import load_tokenizer, texts, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_tokens long"
-#: Units (words between blanks) that a worker keeps encoded.
-CACHED_UNITS = 1_500_000
+#: Units (words between blanks) beyond which a worker keeps those of the texts at hand alone.
+CACHED_UNITS = 1_200_000
 
 
 @dataclass
@@ -226,9 +226,10 @@ def encode_units(texts_: list[str | None], path: str) -> Iterator[bytes]:
         cache["units", path] = Units(load_tokenizer(path))
     own: Units = cache["units", path]
     units = [t.replace("\n", " ").split(" ") if t else [] for t in texts_]
-    if len(own.known) > CACHED_UNITS:
-        own.known.clear()
-    own.learn(list(set().union(*units).difference(own.known)) if units else [])
+    here = set().union(*units)
+    if len(own.known) > CACHED_UNITS:  # frequent units are in these texts too
+        own.known = {u: own.known[u] for u in here.intersection(own.known)}
+    own.learn(list(here.difference(own.known)))
     get = own.known.__getitem__
     for u in units:
         yield b"".join(map(get, u))
