@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, read, texts, worker_cache
+from .common import column, load_tokenizer, read, texts, worker_cache
 from .wordtable import through_words
 
 ENCODED = "doc_id long, n_bytes long, ids array<int>"
@@ -64,7 +64,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, key: str = "doc_id", ids_
     """
     spark = encoded.sparkSession
     table = spark.createDataFrame([(i, p.decode()) for i, p in enumerate(pieces_of(tokenizer_path))], "id int, piece string")
-    rows = encoded.select(F.col(f"`{key}`").alias("k"), F.posexplode_outer(F.col(f"`{ids_col}`")).alias("at", "id")).join(F.broadcast(table), "id", "left")
+    rows = encoded.select(column(key).alias("k"), F.posexplode_outer(column(ids_col)).alias("at", "id")).join(F.broadcast(table), "id", "left")
     return rows.groupBy("k").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))).alias("p")).select(F.col("k").alias(key), F.array_join(F.col("p.piece"), " ").alias("decoded"))
 
 

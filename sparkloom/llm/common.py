@@ -6,22 +6,24 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; unset, a local master gets one of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="sparkloom-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -96,6 +98,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its literal name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(names: list[str]) -> Column:
+    """The columns ``names`` in one struct, so that none of them can clash with ours; ``given_back`` takes them out."""
+    return F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(names)), F.lit(True).alias("here"))
+
+
+def given_back(own: str, names: list[str]) -> dict[str, Column]:
+    """Name -> column of what ``carried`` put in the struct ``own``."""
+    return {c: F.col(own)[f"c{i}"].alias(c) for i, c in enumerate(names)}
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` alone, so that no other column of the input can clash with ours."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))

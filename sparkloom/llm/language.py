@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, read, save
+from .common import column, forget, read, save
 
 ORDER, PAD = 3, b"\n\n\n"
 SEGMENT = 1 << 20
@@ -188,7 +188,7 @@ def grouped(sizes: list[tuple[str, int]], group: int, table: int) -> list[list[s
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", group: int = GROUP) -> Learned:
     """Trees from every row with text and language; a null or empty text adds nothing, a null language is left out."""
-    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    rows = docs.select(column(lang_col).alias("lang"), column(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Learned, *, text_col: str = "text", evidence
         forget()
         letter = regex.compile(r"\p{L}")
         for batch in batches:
-            text = batch.column(text_col).to_pylist()
+            text = batch.column(at_text).to_pylist()
             known = np.array([bool(t and sent and letter.search(t)) for t in text], bool)
             told, low, total = np.full(len(text), "und", object), np.full(len(text), np.inf), np.zeros(len(text))
             for part in sent if known.any() else []:
@@ -257,17 +257,19 @@ def predict(docs: DataFrame, model: Learned, *, text_col: str = "text", evidence
                     del m
                     part.__dict__.pop("_value", None)
             score = np.where(known, 1 / np.where(known, total, 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(told.tolist(), pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0))], [*names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told.tolist(), pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0))], [*fields, "lang_pred", "score", "bits_per_byte"])
 
-    rows = docs.drop("lang_pred", "score", "bits_per_byte")
-    names = rows.columns
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    at_text, fields = names.index(text_col), [f"c{i}" for i in range(len(names))]  # plain names inside
+    rows = docs.select(*(column(c).alias(f) for c, f in zip(names, fields, strict=True)))
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more]))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more]))
+    return out.select(*(F.col(f).alias(c) for c, f in zip(names, fields, strict=True)), "lang_pred", "score", "bits_per_byte")
 
 
 def held_out(id_col: str = "doc_id"):
     """Whether a document is never learned from; so is one without an id."""
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(True))
+    return F.coalesce(F.crc32(column(id_col).cast("string")) % 3 == 1, F.lit(True))
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import carried, column, given_back, read, save
 from .components import components
 
 SHINGLE = 8
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     those that have the three names above, which are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
-    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    doc_id, text = column(id_col), column(text_col)
     row = F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), text)).alias("_row")
 
     parted = docs.where(text.isNotNull()).select(row, doc_id.cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.length(F.trim("line")) >= min_chars)
@@ -205,13 +205,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = save(gone.groupBy("_row").agg(F.array_sort(F.collect_set("at")).alias("_gone")), "line-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), row).join(gone, "_row", "left")
+    others = [c for c in names if c != text_col]
+    rows = docs.select(carried(others).alias("own"), text.alias("text"), row).join(gone, "_row", "left")
+    text = F.col("text")
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
     # what stays are the slices between places that go
     slices = lambda p: F.zip_with(F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size(p))), lambda x, y: F.slice(p, x + 2, y - x - 1))
     stay = F.array_join(bound(F.split(text, "\n"), lambda p: F.flatten(slices(p))), "\n")
+    own = given_back("own", others) | {text_col: F.when(F.col("_gone").isNotNull(), stay).otherwise(text).alias(text_col)}
     return rows.select(
-        *((F.when(F.col("_gone").isNotNull(), stay).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in names),
+        *(own[c] for c in names),
         F.coalesce(F.when(text.isNotNull(), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1), F.lit(0)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"),
     )

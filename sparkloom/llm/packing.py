@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import load_tokenizer, texts, worker_cache
+from .common import column, load_tokenizer, texts, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_tokens long"
 #: Units (words between blanks) beyond which a worker keeps those of the texts at hand alone.
@@ -251,7 +251,7 @@ def pack_texts(
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens has to be a power of two")
     limit_loss = max_tokens if max_loss is None else max_loss
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.coalesce(F.col(f"`{loss_from_col}`"), F.lit(0)) if loss_from_col else F.lit(0)).cast("long").alias("head"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), (F.coalesce(column(loss_from_col), F.lit(0)) if loss_from_col else F.lit(0)).cast("long").alias("head"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

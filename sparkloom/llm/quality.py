@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import column, read
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -52,8 +52,8 @@ def repeated_words(hashes: Column) -> Column:
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     has = set(docs.columns)
-    name = lambda c: F.col(f"`{c}`") if c in has else F.lit(None).cast("string")
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), name(lang_col).alias("lang"), name(source_col).alias("source"))
+    name = lambda c: column(c) if c in has else F.lit(None).cast("string")
+    base = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), name(lang_col).alias("lang"), name(source_col).alias("source"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
     base = base.select(
         "doc_id", "lang", "source",

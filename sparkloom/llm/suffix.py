@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import carried, column, given_back, read, save
 from .neardup import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -168,7 +168,7 @@ class Contexts:
             mate[first] = np.minimum(first + 1, len(by) - 1)
             i, j = own[by][twice], own[by][mate[twice]]
             found.append((i, np.full(len(i), o), j))
-        if not found:
+        if not any(len(i) for i, _, _ in found):  # equal anchors, but no string occurs twice
             return
         i, o, j = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.lexsort((o, j, i))
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     is left as UTF-8; bytes of a character that was cut are left out of it (not of the digest). An empty
     table gives no rows. The text column goes; columns of the names above are replaced.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text")]
     spans, held = repeated_spans(docs.select(text.alias("text")).select(F.unhex(F.md5("text")).alias("rk"), "text"), length, gram, sort_limit)
     own = spans.groupBy("rk").agg(F.collect_set(F.struct("begin", "stop")).alias("found"))
@@ -333,12 +333,12 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), kind, pa.string(), pa.string()), strict=False)], ["rk", "n_removed", "n_spans", "spans", "sha", "kept"][: 5 + with_text])
 
     cut = held.join(own, "rk").mapInArrow(run, schema)
-    plain = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("_text")).select(*(f"`{c}`" for c in names), F.unhex(F.md5("_text")).alias("_rk"), F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("_sha"), *(["_text"] * with_text))
-    cut = cut.select(F.col("rk").alias("_rk"), F.struct("n_removed", "n_spans", "spans", "sha", *(["kept"] * with_text)).alias("_cut"))
+    plain = docs.select(carried(names).alias("own"), text.alias("text")).select("own", F.unhex(F.md5("text")).alias("rk"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("plain_sha"), *(["text"] * with_text))
+    cut = cut.select("rk", F.struct("n_removed", "n_spans", "spans", "sha", *(["kept"] * with_text)).alias("cut"))
     none = F.lit(0).cast("long")
-    return plain.join(cut, "_rk", "left").select(
-        *(f"`{c}`" for c in names), "n_bytes", F.coalesce("_cut.n_removed", none).alias("n_removed"), F.coalesce("_cut.n_spans", none).alias("n_spans"), F.col("_cut.spans").alias("spans"),
-        F.coalesce("_cut.sha", "_sha").alias("kept_sha256"), *([F.coalesce("_cut.kept", "_text").alias("kept_text")] * with_text),
+    return plain.join(cut, "rk", "left").select(
+        *given_back("own", names).values(), "n_bytes", F.coalesce("cut.n_removed", none).alias("n_removed"), F.coalesce("cut.n_spans", none).alias("n_spans"), F.col("cut.spans").alias("spans"),
+        F.coalesce("cut.sha", "plain_sha").alias("kept_sha256"), *([F.coalesce("cut.kept", "text").alias("kept_text")] * with_text),
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import column, read, save
 
 PACKED = "no long, dim int, n int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -159,7 +159,7 @@ def top_k(
     rows without an id, take no part. Only vectors of a query's dimension are its candidates. Equal
     rows count once; an empty table gives no rows; other columns are ignored.
     """
-    pick = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).dropDuplicates()
+    pick = lambda df: df.select(column(id_col).cast("long").alias("id"), column(vector_col).cast("array<double>").alias("v")).dropDuplicates()
     shards = save(pack(pick(vectors), scale, shard_rows), "topk-shards")
     blocks = save(pack(pick(queries), scale, block_rows).withColumn("floor", F.lit(None).cast("binary")), "topk-blocks")
     # a shard's number is all that leaves the executors: 20 bytes for every ``shard_rows`` vectors
