@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import read, save
+from sparkloom.llm.common import carried, column, given_back, read, save
 from sparkloom.llm.language import held_out, predict, train
 from sparkloom.llm.lines import dedup_lines
 from sparkloom.llm.neardup import near_duplicates
@@ -30,7 +30,7 @@ PASSAGE_BYTES = 200
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     """``docs`` in the columns ``names`` with another text."""
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in names else {})
-    return docs.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in names))
+    return docs.select(*((new[c].alias(c) if c in new else column(c)) for c in names))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out()))
     told = predict(docs, model)
     fine = told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return fine.select(*(f"`{c}`" for c in docs.columns))
+    return fine.select(*map(column, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each component the document with the least id stays, once if its row is repeated."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    keyed = docs.withColumn("_md5_", F.md5("text")).dropDuplicates(["doc_id", "_md5_"])
-    return keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_md5_") == F.col("_md5")), "left_anti").drop("_md5_")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5")).distinct()
+    keyed = docs.select(carried(docs.columns).alias("own"), F.col("doc_id").alias("id"), F.md5("text").alias("md5")).dropDuplicates(["id", "md5"])
+    left = keyed.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("md5") == F.col("gone_md5")), "left_anti")
+    return left.select(*given_back("own", docs.columns).values())
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
