@@ -6,7 +6,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
@@ -49,6 +49,32 @@ def purge(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked to be broadcast if it has at most ``BROADCAST_ROWS`` rows, which are counted; for narrow, saved tables."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column], tag: str) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in their ``group`` (which isn't null), and ``total``, the group's rows.
+
+    No group is gathered: rows are dealt by ranges of (group, order), written once, and numbered by
+    their place in their partition and the counts of partitions before, of which a group has few.
+    Rows equal in ``order`` are split by where they were read.
+    """
+    by = [F.col(group), *order, F.col("_tie")]
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_no", F.monotonically_increasing_id()).drop("_tie")
+    ranged = save(ranged, tag).withColumn("_part", F.shiftright("_no", 33))
+    counts = ranged.groupBy(group, "_part").agg(F.min("_no").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = save(counts.select(group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("total")), f"{tag}-offsets")
+    return ranged.join(small(offsets), [group, "_part"]).withColumn("at", F.col("_no") + F.col("_shift")).drop("_no", "_part", "_shift")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that ``df`` reads; where it can't tell, a guess from the number of shuffle partitions."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -10,6 +10,7 @@ from .bpe import op6_bpe
 from .counts import op3_tokens
 from .language import op4_language
 from .lines import op7_lines
+from .merkle import OP12_SQL, op12_merkle
 from .neardup import op8_minhash
 from .packing import op5_packing
 from .quality import OP9_SQL, op9_quality
@@ -19,8 +20,8 @@ from .topk import OP10_SQL, op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk}
+    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk, "op12_merkle": op12_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL, "op12_merkle": OP12_SQL}
