@@ -14,14 +14,15 @@ from .merkle import OP12_SQL, op12_merkle
 from .neardup import op8_minhash
 from .packing import op5_packing
 from .quality import OP9_SQL, op9_quality
+from .repair import OP13_SQL, op13_repair
 from .substring import op2_windows
 from .suffix import op1_suffix
 from .topk import OP10_SQL, op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk, "op12_merkle": op12_merkle}
+    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk, "op12_merkle": op12_merkle, "op13_repair": op13_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL, "op12_merkle": OP12_SQL}
+    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL, "op12_merkle": OP12_SQL, "op13_repair": OP13_SQL}
