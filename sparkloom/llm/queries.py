@@ -13,6 +13,7 @@ from .lines import op7_lines
 from .merkle import OP12_SQL, op12_merkle
 from .neardup import op8_minhash
 from .packing import op5_packing
+from .pii import op11_pii
 from .quality import OP9_SQL, op9_quality
 from .repair import OP13_SQL, op13_repair
 from .substring import op2_windows
@@ -21,7 +22,7 @@ from .topk import OP10_SQL, op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk, "op12_merkle": op12_merkle, "op13_repair": op13_repair}
+    return {"op1_suffix": op1_suffix, "op2_windows": op2_windows, "op3_tokens": op3_tokens, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_topk": op10_topk, "op11_pii": op11_pii, "op12_merkle": op12_merkle, "op13_repair": op13_repair}
 
 
 def oracle_sql() -> dict[str, str]:
