@@ -1,7 +1,8 @@
-"""Ranking: each search is a scan with a score and a top-k, which Spark runs without a full sort; ties go by ``ordinal``."""
+"""Ranking: each search is one scan that gives the best of its lists, and a late look-up of the few hits; ties go by ``ordinal``."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 from typing import Any
 
@@ -9,32 +10,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score, preview, relative_path
-from ..functions.vector import cosine, score
 from .filters import apply, predicate
+from .nearest import Ranking, nearest_of_many, rankings
 
 #: Weights of the vector, the keyword and the semantic list.
 WEIGHTS = (0.4, 0.2, 0.4)
 
 
+def unpacked(vector) -> list[float]:
+    """A stored vector as numbers; it may be packed as float32."""
+    if isinstance(vector, (bytes, bytearray)):
+        return [float(x) for x in array("f", bytes(vector))]
+    return [float(x) for x in vector]
+
+
 def top(df: DataFrame, by: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(by), "ordinal").limit(k)
 
 
-def vector_search(store: DataFrame, query: Sequence[float], k: int = 5, metric: str = "cosine", filters: dict[str, Any] | None = None, mode: str = "overfetch") -> DataFrame:
-    """The k nearest by vector: the store's columns and ``score``.
+def looked_up(hits: DataFrame, details: DataFrame, k: int) -> DataFrame:
+    """Hits ``ordinal, score`` with the other columns of ``details``, in order; the hits, of a known small number, are what is broadcast."""
+    return top(details.join(F.broadcast(hits), "ordinal"), "score", k)
+
+
+def vector_search(
+    store: DataFrame, query: Sequence[float], k: int = 5, metric: str = "cosine", filters: dict[str, Any] | None = None, mode: str = "overfetch", details: DataFrame | None = None,
+) -> DataFrame:
+    """The k nearest by vector: the store's columns (or those of ``details``) and ``score``.
 
     With filters, ``overfetch`` takes the 5k nearest and filters these, so it may give fewer than k;
     ``exact`` filters first. Rows without vector or with a zero one (cosine) have no score and are left out.
     """
     if mode not in ("overfetch", "exact"):
         raise ValueError("mode is overfetch or exact")
-    if filters and mode == "exact":
-        store = apply(store, filters)
-    scored = store.withColumn("score", score(F.col("embedding"), query, metric)).where("score IS NOT NULL").drop("embedding")
-    if filters and mode == "overfetch":
-        near = top(scored, "score", 5 * k)
-        return top(near.where(predicate(near, filters)), "score", k)
-    return top(scored, "score", k)
+    rule = predicate(store, filters) if filters else None
+    over = rule is not None and mode == "overfetch"
+    near = rankings(store, [Ranking("vector", 5 * k if over else k, F.col("embedding"), query, metric, None if over else rule)], rule if over else None)
+    hits = top(near.where("ok"), "score", k).select("ordinal", "score")
+    return looked_up(hits, store.drop("embedding") if details is None else details, k)
 
 
 def keyword_search(store: DataFrame, query: str, k: int = 20, text_col: str = "content_preview") -> DataFrame:
@@ -42,32 +55,59 @@ def keyword_search(store: DataFrame, query: str, k: int = 20, text_col: str = "c
     return top(scored, "score", k)
 
 
-def semantic_search(store: DataFrame, query: str, encoder, k: int = 20, filters: dict[str, Any] | None = None, text_col: str = "content_preview", vector_col: str | None = None) -> DataFrame:
-    """Cosine of the query's and the previews' vectors; filters come first. Empty previews are left out."""
-    rows = apply(store, filters).where(F.length(text_col) > 0)
-    own = F.col(vector_col) if vector_col else encoder.column(F.col(text_col))
-    scored = rows.withColumn("_v", own).withColumn("score", cosine(F.col("_v"), encoder.query(query))).where("score IS NOT NULL").drop("_v")
-    return top(scored, "score", k)
-
+def semantic_search(
+    store: DataFrame, query: str, encoder, k: int = 20, filters: dict[str, Any] | None = None, text_col: str = "content_preview", vector_col: str | None = None, details: DataFrame | None = None,
+) -> DataFrame:
+    """Cosine of the query's and the previews' vectors; filters come first. Empty previews are left out.
 
-def fuse(vector: DataFrame, keyword: DataFrame, semantic: DataFrame, k: int = 5, weights: tuple[float, float, float] = WEIGHTS, metric: str = "cosine") -> DataFrame:
-    """``id, ordinal, score``: each list divided by its maximum, missing scores 0, weighted and summed.
+    ``vector_col`` has the previews' vectors if they are kept; else they are encoded here.
+    """
+    found = rankings(store, [meant(store, query, encoder, k, filters, text_col, vector_col)])
+    return looked_up(found.select("ordinal", "score"), store if details is None else details, k)
+
+
+def meant(store: DataFrame, query: str, encoder, k: int, filters: dict[str, Any] | None, text_col: str = "content_preview", vector_col: str | None = None) -> Ranking:
+    """The semantic list."""
+    own = F.col(vector_col) if vector_col else F.when(F.length(text_col) > 0, encoder.column(F.col(text_col)))
+    return Ranking("semantic", k, own, encoder.query(query), "cosine", (F.length(text_col) > 0) & predicate(store, filters))
+
+
+def three_lists(
+    store: DataFrame, vector: Sequence[float], text: str, encoder, k: int, *, metric: str = "cosine", filters: dict[str, Any] | None = None, keyword_filter: bool = True, mode: str = "overfetch", text_col: str = "content_preview",
+    vector_col: str | None = None,
+) -> DataFrame:
+    """``list, ordinal, score``: the vector, keyword and semantic lists of k, from one scan."""
+    rule = predicate(store, filters)
+    over = bool(filters) and mode == "overfetch"
+    words = keyword_score(F.col(text_col), F.col("type"), text)
+    lists = [
+        Ranking("vector", 5 * k if over else k, F.col("embedding"), vector, metric, None if over else rule), Ranking("keyword", k, F.when(words > 0, words), where=rule if keyword_filter else None),
+        meant(store, text, encoder, k, filters, text_col, vector_col),
+    ]
+    found = rankings(store, lists, rule)
+    if over:  # the k first of those near ones that pass
+        place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "ordinal"))
+        found = found.where("list <> 'vector' OR ok").withColumn("_r", place).where(F.col("_r") <= k)
+    return found.select("list", "ordinal", "score")
+
+
+def fuse_lists(lists: DataFrame, k: int = 5, weights: tuple[float, float, float] = WEIGHTS, metric: str = "cosine", keys: tuple[str, ...] = ("ordinal",)) -> DataFrame:
+    """``ordinal, score`` of ``list, ordinal, score``: each list divided by its maximum, missing scores 0, weighted and summed.
 
     The lists hold a few rows each, so what they meet in is one small task. Distances (l2) are turned
     into similarities first, or the farthest would win.
     """
-    nearness = F.lit(1.0) / (F.lit(1.0) - F.col("score")) if metric == "l2" else F.col("score")
-    lists = [d.select("id", "ordinal", s.alias("s"), F.lit(i).alias("list")) for i, (d, s) in enumerate(((vector, nearness), (keyword, F.col("score")), (semantic, F.col("score"))))]
-    rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    scaled = rows.withColumn("s", F.try_divide("s", F.max("s").over(Window.partitionBy("list"))))
-    part = lambda i: F.coalesce(F.max(F.when(F.col("list") == i, F.col("s"))), F.lit(0.0)) * F.lit(weights[i])
-    return scaled.groupBy("id", "ordinal").agg((part(0) + part(1) + part(2)).alias("score")).orderBy(F.desc("score"), "ordinal").limit(k)
+    score = F.when(F.col("list") == "vector", F.lit(1.0) / (F.lit(1.0) - F.col("score"))).otherwise(F.col("score")) if metric == "l2" else F.col("score")
+    scaled = lists.withColumn("s", score).withColumn("s", F.try_divide("s", F.max("s").over(Window.partitionBy("list"))))
+    part = lambda name, w: F.coalesce(F.max(F.when(F.col("list") == name, F.col("s"))), F.lit(0.0)) * F.lit(w)
+    total = part("vector", weights[0]) + part("keyword", weights[1]) + part("semantic", weights[2])
+    return scaled.groupBy(*keys).agg(total.alias("score")).orderBy(F.desc("score"), "ordinal").limit(k)
 
 
-def with_metadata(hits: DataFrame, store: DataFrame, *more: str) -> DataFrame:
-    """Hits with their columns of the store; the hits are at most a few times k, so they are what is broadcast."""
-    cols = [c for c in ("id", "type", "name", "file_path", "file_name", "content_preview", *more) if c in store.columns]
-    return store.select(*cols).join(F.broadcast(hits), "id")
+def fuse(vector: DataFrame, keyword: DataFrame, semantic: DataFrame, k: int = 5, weights: tuple[float, float, float] = WEIGHTS, metric: str = "cosine") -> DataFrame:
+    """``id, ordinal, score`` of three lists."""
+    lists = [d.select(F.lit(name).alias("list"), "id", "ordinal", "score") for name, d in (("vector", vector), ("keyword", keyword), ("semantic", semantic))]
+    return fuse_lists(lists[0].unionByName(lists[1]).unionByName(lists[2]), k, weights, metric, ("id", "ordinal"))
 
 
 def rerank(hits: DataFrame, query: str, scorer, k: int = 3, by: str = "score", text_col: str = "content_preview") -> DataFrame:
@@ -80,19 +120,13 @@ def similar(store: DataFrame, id_: str, k: int = 5, metric: str = "cosine") -> D
     row = store.where(F.col("id") == id_).select("embedding").first()
     if row is None or row[0] is None:
         return store.drop("embedding").withColumn("score", F.lit(0.0)).limit(0)
-    return vector_search(store.where(F.col("id") != id_), list(row[0]), k, metric)
-
+    return vector_search(store.where(F.col("id") != id_), unpacked(row[0]), k, metric)
 
-def batch_vector_search(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", max_queries: int = 10_000) -> DataFrame:
-    """``query_id`` and the k nearest for each of many queries ``query_id, query``.
 
-    Every query meets every row, so the queries are the side that is broadcast; their number is checked.
-    """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries at a time")
-    scored = store.crossJoin(F.broadcast(queries)).withColumn("score", score(F.col("embedding"), F.col("query"), metric)).where("score IS NOT NULL")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
-    return scored.drop("embedding", "query").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def batch_vector_search(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+    """``query_id, rank, score`` and the store's columns of the k nearest for each of any number of queries ``query_id, query``."""
+    near = nearest_of_many(store, queries, k, metric)
+    return near.join(store.drop("embedding"), "ordinal")
 
 
 def component_first(hits: DataFrame, order: Column) -> DataFrame:

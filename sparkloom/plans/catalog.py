@@ -88,13 +88,13 @@ for _metric in vector.METRICS:
 
 @query("vec_topk_overfetch_filter", f"WITH {S}, n AS (SELECT s.*, {SCORES['cosine']} AS score FROM s, q ORDER BY score DESC, ordinal LIMIT 50) SELECT id, type, round(score, 6) AS score FROM n WHERE type = 'component' ORDER BY n.score DESC, ordinal LIMIT 10")
 def _(spark, sf_dir):
-    hits = search.vector_search(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), 10, filters={"type": "component"})
+    hits = search.vector_search(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), 10, filters={"type": "component"}, details=tables.documents_as_store(spark, sf_dir, "none"))
     return _rounded(hits.select("id", "type", "score"), "score")
 
 
 @query("vec_topk_exact_filter", f"WITH {S} SELECT id, type, round({SCORES['cosine']}, 6) AS score FROM s, q WHERE type = 'component' ORDER BY {SCORES['cosine']} DESC, ordinal LIMIT 10")
 def _(spark, sf_dir):
-    hits = search.vector_search(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), 10, filters={"type": "component"}, mode="exact")
+    hits = search.vector_search(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), 10, filters={"type": "component"}, mode="exact", details=tables.documents_as_store(spark, sf_dir, "none"))
     return _rounded(hits.select("id", "type", "score"), "score")
 
 
@@ -157,19 +157,19 @@ def _hybrid_sql(k: int, where: str = "true", weights=search.WEIGHTS) -> str:
 
 @query("hybrid_fusion", _hybrid_sql(10) + f" SELECT {LIGHT}, round(score, 6) AS score FROM hits")
 def _(spark, sf_dir):
-    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, semantic=encode.HashedWords(DIM))
+    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, semantic=encode.HashedWords(DIM), details=tables.documents_as_store(spark, sf_dir, "none"))
     return _rounded(hits.select(*LIGHT.split(", "), "score"), "score")
 
 
 @query("hybrid_fusion_custom_weights", _hybrid_sql(10, "type = 'component'", (0.1, 0.7, 0.2)) + " SELECT id, type, round(score, 6) AS score FROM hits")
 def _(spark, sf_dir):
-    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, filters={"type": "component"}, semantic=encode.HashedWords(DIM), weights=(0.1, 0.7, 0.2))
+    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, filters={"type": "component"}, semantic=encode.HashedWords(DIM), weights=(0.1, 0.7, 0.2), details=tables.documents_as_store(spark, sf_dir, "none"))
     return _rounded(hits.select("id", "type", "score"), "score")
 
 
 @query("hybrid_rerank", _hybrid_sql(40) + f" SELECT id, round(score, 6) AS score, round({COVERAGE}, 6) AS cross_score FROM hits ORDER BY {COVERAGE} DESC, hits.score DESC, ordinal LIMIT 10")
 def _(spark, sf_dir):
-    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, rerank=True, semantic=encode.HashedWords(DIM), scorer=encode.Coverage())
+    hits = hybrid(tables.documents_as_store(spark, sf_dir), _anchor(spark, sf_dir), QUERY, k=10, rerank=True, semantic=encode.HashedWords(DIM), scorer=encode.Coverage(), details=tables.documents_as_store(spark, sf_dir, "none"))
     return _rounded(hits.select("id", "score", "cross_score"), "score", "cross_score")
 
 
@@ -193,7 +193,7 @@ FULL = (
 def flagship(spark, sf_dir):
     """Three lists, fusion, reranking, component-first dedup and the answer's columns. What is sorted at the end is at most 20 rows."""
     s = tables.documents_as_store(spark, sf_dir)
-    hits = hybrid(s, _anchor(spark, sf_dir), QUERY, k=20, rerank=True, semantic=encode.HashedWords(DIM), scorer=encode.Coverage())
+    hits = hybrid(s, _anchor(spark, sf_dir), QUERY, k=20, rerank=True, semantic=encode.HashedWords(DIM), scorer=encode.Coverage(), details=tables.documents_as_store(spark, sf_dir, "none"))
     place = F.row_number().over(Window.orderBy(F.desc("cross_score"), F.desc("score"), "ordinal"))
     kept = search.component_first(hits, place)
     file = Window.partitionBy("file_path")

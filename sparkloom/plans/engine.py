@@ -21,26 +21,26 @@ log = logging.getLogger(__name__)
 
 def hybrid(
     store: DataFrame, query_vector: list[float] | None, text: str | None, *, k: int = 5, metric: str = "cosine", filters: dict[str, Any] | None = None, rerank: bool = False, semantic=None, scorer=None,
-    weights: tuple[float, float, float] = ops.WEIGHTS, keyword_filter: bool = True, mode: str = "overfetch",
+    weights: tuple[float, float, float] = ops.WEIGHTS, keyword_filter: bool = True, mode: str = "overfetch", details: DataFrame | None = None, vector_col: str | None = None,
 ) -> DataFrame:
-    """One plan for a search: three lists, their fusion, and the reranking if it is asked for and can be done.
+    """One plan for a search: three lists from one scan, their fusion, and the reranking if it is asked for and can be done.
 
     The vector list is fused only if there is a text. ``keyword_filter=False`` leaves the keyword list
-    unfiltered. A rerank takes 4k candidates. The columns are the store's that a hit shows, ``ordinal``,
-    ``score`` and, reranked, ``cross_score``; rows come in order.
+    unfiltered. A rerank takes 4k candidates. Hits' columns come from ``details`` (the store itself if
+    there is none), by one late look-up; ``vector_col`` has the previews' vectors, if they are kept.
+    The columns are the store's that a hit shows, ``ordinal``, ``score`` and, reranked,
+    ``cross_score``; rows come in order.
     """
     many = 4 * k if rerank else k
-    light = store.drop("full_content")
-    near = ops.vector_search(light, query_vector, many, metric, filters, mode)
+    shown = store if details is None else details
+    shown = shown.select("ordinal", *ops_columns(shown))
     if not text:
-        return near.select(*ops_columns(near), "ordinal", "score")
-    words = ops.keyword_search(ops.apply(light, filters) if keyword_filter else light, text, many)
-    meant = ops.semantic_search(light, text, semantic or HashedWords(), many, filters)
-    fused = ops.fuse(near, words, meant, many, weights, metric)
-    hits = ops.with_metadata(fused, light)
+        return ops.vector_search(store, query_vector, many, metric, filters, mode, shown)
+    lists = ops.three_lists(store, query_vector, text, semantic or HashedWords(), many, metric=metric, filters=filters, keyword_filter=keyword_filter, mode=mode, vector_col=vector_col)
+    hits = ops.looked_up(ops.fuse_lists(lists, many, weights, metric), shown, many)
     if rerank and scorer is not None:
         return ops.rerank(hits, text, scorer, k)
-    return hits.orderBy(F.desc("score"), "ordinal").limit(k)
+    return hits.limit(k)
 
 
 def ops_columns(df: DataFrame) -> list[str]:
