@@ -6,15 +6,18 @@ terms covered, are plain stand-ins: they rank, but not as a trained model would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..functions import vector
+from .batches import Batches, Entry
+from .scratch import written
 
 
 class TextEncoder(Protocol):
@@ -75,6 +78,14 @@ class Coverage:
         return text_functions.coverage(passage, query)
 
 
+class PairScorer(Protocol):
+    """Scores of passages for a query; higher is better."""
+
+    name: str
+
+    def column(self, query: str, passage: Column) -> Column: ...
+
+
 class BatchScorer:
     """A model of pairs: ``make()`` gives a function of a query and a list of passages."""
 
@@ -110,26 +121,83 @@ def pair_key(query: Column, passage: Column) -> Column:
 
 
 class VectorCache:
-    """A Parquet table ``key, vector``; what it doesn't have is computed once and appended."""
+    """A table ``key, vector`` in committed batches; what it doesn't have is computed once and appended."""
+
+    SCHEMA = "key string, vector array<double>"
 
     def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.batches = spark, Batches(spark, path)
 
     def read(self) -> DataFrame:
-        from .store import read_or_empty
-
-        return read_or_empty(self.spark, self.path, "key string, vector array<double>")
+        return self.batches.read("vectors", self.SCHEMA)
 
     def encode(self, rows: DataFrame, text_col: str, encoder: TextEncoder, out: str = "embedding") -> DataFrame:
+        """``rows`` with the vectors of their texts. The cache is read once, for what is asked alone; each missing text is encoded once."""
         keyed = rows.withColumn("_key", content_key(F.col(text_col), encoder.name))
-        missing = keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("_text")).dropDuplicates(["key"]).join(self.read(), "key", "left_anti")
-        missing.select("key", encoder.column(F.col("_text")).alias("vector")).write.mode("append").parquet(self.path)
-        asked = keyed.select(F.col("_key").alias("key")).distinct()
-        known = self.read().join(asked, "key", "left_semi").dropDuplicates(["key"])
-        return keyed.join(known.withColumnsRenamed({"key": "_key", "vector": out}), "_key", "left").drop("_key")
+        asked = written(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"]), "asked")
+        known = written(self.read().join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]), "known")
+        new = appended(self.batches, "vectors", asked.join(known.select("key"), "key", "left_anti").select("key", encoder.column(F.col("text")).cast("array<double>").alias("vector")), ("key",))
+        vectors = known if new is None else known.unionByName(new)
+        return keyed.join(vectors.withColumnsRenamed({"key": "_key", "vector": out}), "_key", "left").drop("_key")
+
+    def stats(self) -> DataFrame:
+        """One row: whether there is a cache, its vectors, and their size."""
+        size = F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))
+        return self.read().agg(F.lit(True).alias("enabled"), F.count("*").alias("count"), size.alias("bytes"), (size / F.lit(1 << 20)).alias("mb"))
+
+    def compact(self) -> None:
+        self.batches.compact("vectors", self.SCHEMA, order=("key",), bloom=("key",))
+
+    def clear(self) -> None:
+        self.batches.clear()
+
+
+class ScoreCache:
+    """A table ``key, score`` of scored pairs, in committed batches: a pair is scored once."""
+
+    SCHEMA = "key string, score double"
+    #: Keys that are looked up as a list of constants at most; beyond it by a join.
+    LISTED = 1_000
+
+    def __init__(self, spark, path: str):
+        self.spark, self.batches = spark, Batches(spark, path)
+
+    def read(self) -> DataFrame:
+        return self.batches.read("scores", self.SCHEMA)
+
+    def scored(self, rows: DataFrame, query: str, scorer: PairScorer, text_col: str, out: str = "cross_score") -> DataFrame:
+        """``rows`` (a search's candidates) with their score; the table is read for their keys alone, which bloom filters pick out."""
+        passage = F.coalesce(F.col(text_col), F.lit(""))
+        keyed = written(rows.withColumn("_key", F.concat(F.lit(f"{scorer.name}:"), pair_key(F.lit(query), passage))), "pairs")
+        keys = [r[0] for r in keyed.select("_key").distinct().limit(self.LISTED + 1).collect()]
+        known = self.read()
+        known = known.where(F.col("key").isin(keys)) if len(keys) <= self.LISTED else known.join(keyed.select(F.col("_key").alias("key")), "key", "left_semi")
+        known = written(known.dropDuplicates(["key"]), "known")
+        missing = keyed.select(F.col("_key").alias("key"), passage.alias("passage")).dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+        new = appended(self.batches, "scores", missing.select("key", scorer.column(query, F.col("passage")).cast("double").alias("score")), ("key",))
+        scores = known if new is None else known.unionByName(new)
+        return keyed.join(scores.withColumnsRenamed({"key": "_key", "score": out}), "_key", "left").drop("_key")
 
     def stats(self) -> DataFrame:
-        return self.read().agg(F.count("*").alias("count"), F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("bytes"))
+        return self.read().agg(F.lit(True).alias("enabled"), F.count("*").alias("count"), (F.count("*") * 72).alias("bytes"), (F.count("*") * 72 / F.lit(1 << 20)).alias("mb"))
+
+    def compact(self) -> None:
+        self.batches.compact("scores", self.SCHEMA, order=("key",), bloom=("key",))
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], "key string, vector array<double>").write.mode("overwrite").parquet(self.path)
+        self.batches.clear()
+
+
+def appended(batches: Batches, table: str, rows: DataFrame, bloom: tuple[str, ...]) -> DataFrame | None:
+    """``rows`` as a committed batch, read again; None if there are none. What another writer adds meanwhile doesn't matter."""
+    batch, told = uuid.uuid4().hex, Observation()
+    batches.write(rows.observe(told, F.count("*").alias("n")), table, batch, bloom=bloom)
+    n = told.get["n"]
+    if not n:
+        return None
+
+    def make(seen: list[Entry]) -> tuple[str, int, dict]:
+        return batch, n, {}
+
+    batches.append(make)
+    return batches.spark.read.schema(rows.schema).parquet(f"{batches.path}/{table}/batch={batch}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.project import EXTENSIONS
+
 TAGGED = (("template", "<template>\n", "\n</template>"), ("script", "<script>\n", "\n</script>"), ("style", "<style scoped>\n", "\n</style>"))
 
 
@@ -50,16 +52,38 @@ def type_counts(frags: DataFrame) -> DataFrame:
 
 
 def fragment_stats(frags: DataFrame) -> DataFrame:
-    """One row: all fragments, and components with props and with components of their own."""
+    """``stat, key, n``: ``total_count``, ``has_props`` and ``has_components`` (components with any; no key), ``by_type`` and ``by_file``.
+
+    It is a table as there are as many files as there may be. Nothing has a ``by_component_type``, so
+    there are no rows of it. The fragments are read once: counts by type and file are taken first.
+    """
     component = F.col("type") == "component"
-    return frags.agg(
-        F.count("*").alias("total_count"), F.count_if(component & (F.size("metadata.props") > 0)).alias("has_props"), F.count_if(component & (F.size("metadata.components") > 0)).alias("has_components")
+    each = frags.groupBy("type", F.col("metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n"), F.count_if(component & (F.size("metadata.props") > 0)).alias("props"), F.count_if(component & (F.size("metadata.components") > 0)).alias("components")
     )
+    sums = each.groupingSets([[], [F.col("type")], [F.col("file")]], "type", "file").agg(F.grouping_id().alias("of"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "props", "components")))
+    row = lambda stat, key, n: F.struct(F.lit(stat).alias("stat"), key.cast("string").alias("key"), F.col(n).alias("n"))
+    none = F.lit(None)
+    whole = F.array(row("total_count", none, "n"), row("has_props", none, "props"), row("has_components", none, "components"))
+    told = F.when(F.col("of") == 3, whole).when(F.col("of") == 1, F.array(row("by_type", F.col("type"), "n"))).otherwise(F.array(row("by_file", F.col("file"), "n")))
+    return sums.select(F.explode(told).alias("x")).select("x.*")
+
+
+def file_counts() -> list[Column]:
+    """Aggregates of files: all of them, those read without error, and how many have each of the scanned extensions."""
+    own = [F.count_if(F.col("extension") == e).alias(f"ext_{e}") for e in EXTENSIONS]
+    return [F.count("*").alias("total_files"), F.count_if(F.col("error").isNull() & ~F.coalesce("ignored", F.lit(False))).alias("components_count"), *own]
+
+
+def summary(counts: dict[str, int]) -> dict:
+    """A parse summary of the values of ``file_counts``."""
+    return {"total_files": counts["total_files"], "components_count": counts["components_count"], "by_extension": {k[4:]: n for k, n in counts.items() if k.startswith("ext_") and n}}
 
 
 def parse_summary(files: DataFrame) -> DataFrame:
-    """One row for each extension: files, and files read without error."""
-    return files.groupBy("extension").agg(F.count("*").alias("total_files"), F.count_if(F.col("error").isNull()).alias("parsed_ok_count"))
+    """A row for each extension, files and files read without error, and one of all (a null extension)."""
+    counts = files.groupBy("extension").agg(F.count("*").alias("total_files"), F.count_if(F.col("error").isNull()).alias("parsed_ok_count"))
+    return counts.rollup("extension").agg(F.sum("total_files").alias("total_files"), F.sum("parsed_ok_count").alias("parsed_ok_count"))
 
 
 def embedding_text(type_: Column, name: Column, content: Column, component_name: Column, props: Column, components: Column, file_name: Column) -> Column:

@@ -110,9 +110,10 @@ def fuse(vector: DataFrame, keyword: DataFrame, semantic: DataFrame, k: int = 5,
     return fuse_lists(lists[0].unionByName(lists[1]).unionByName(lists[2]), k, weights, metric, ("id", "ordinal"))
 
 
-def rerank(hits: DataFrame, query: str, scorer, k: int = 3, by: str = "score", text_col: str = "content_preview") -> DataFrame:
-    """The k best by pair score, ``cross_score``; ties keep the order they came in."""
-    return hits.withColumn("cross_score", scorer.column(query, F.col(text_col))).orderBy(F.desc("cross_score"), F.desc(by), "ordinal").limit(k)
+def rerank(hits: DataFrame, query: str, scorer, k: int = 3, by: str = "score", text_col: str = "content_preview", cache=None) -> DataFrame:
+    """The k best by pair score, ``cross_score``; ties keep the order they came in. With a cache, known pairs aren't scored again."""
+    scored = hits.withColumn("cross_score", scorer.column(query, F.col(text_col))) if cache is None else cache.scored(hits, query, scorer, text_col)
+    return scored.orderBy(F.desc("cross_score"), F.desc(by), "ordinal").limit(k)
 
 
 def similar(store: DataFrame, id_: str, k: int = 5, metric: str = "cosine") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import component, text, vector
 from ..operators import encode, filters, fragments, search, store, training
+from ..schema import TYPES
 from ..sources import project, tables
 from .engine import hybrid
 
@@ -38,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
 # ---- SQL that several queries share
 
 S = f"""d AS (
-  SELECT doc_id::VARCHAR AS id, doc_id AS ordinal, (['component','template','script','style','config','css','javascript','html','generic'])[doc_id % 9 + 1] AS type, 'frag_' || doc_id AS name,
+  SELECT doc_id::VARCHAR AS id, doc_id AS ordinal, ({list(TYPES)})[doc_id % 9 + 1] AS type, 'frag_' || doc_id AS name,
     'repo/web-app/src/' || source || '/' || lang || '/' || (doc_id // 4) || '.vue' AS file_path, (doc_id // 4) || '.vue' AS file_name,
     CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END AS content_preview, text AS full_content,
     CASE WHEN doc_id % 9 = 0 THEN 'Comp' || (doc_id % 50) END AS component_name, CASE WHEN doc_id % 9 = 0 THEN (['item','dense','title','value','label','extra'])[1:doc_id % 7] END AS props
@@ -317,7 +318,12 @@ def _(spark, sf_dir):
     return fragments.type_counts(_frags(spark, sf_dir))
 
 
-@query("fragment_stats", f"WITH {FRAGS} SELECT count(*) AS total_count, count(*) FILTER (type = 'component' AND len(props) > 0) AS has_props, count(*) FILTER (type = 'component' AND len(components) > 0) AS has_components FROM g")
+@query(
+    "fragment_stats",
+    f"""WITH {FRAGS} SELECT 'total_count' AS stat, NULL AS key, count(*) AS n FROM g UNION ALL SELECT 'has_props', NULL, count(*) FROM g WHERE type = 'component' AND len(props) > 0
+    UNION ALL SELECT 'has_components', NULL, count(*) FROM g WHERE type = 'component' AND len(components) > 0
+    UNION ALL SELECT 'by_type', type, count(*) FROM g GROUP BY type UNION ALL SELECT 'by_file', path, count(*) FROM g GROUP BY path""",
+)
 def _(spark, sf_dir):
     return fragments.fragment_stats(_frags(spark, sf_dir))
 
@@ -355,7 +361,7 @@ def _(spark, sf_dir):
     return tables.table(spark, sf_dir, "pages").select("page_id", project.is_ignored(F.col("url")).alias("ignored"))
 
 
-@query("parse_summary", f"WITH {SRC} SELECT extension, count(*) AS total_files, count(*) AS parsed_ok_count FROM f GROUP BY extension")
+@query("parse_summary", f"WITH {SRC} SELECT extension, count(*) AS total_files, count(*) AS parsed_ok_count FROM f GROUP BY ROLLUP (extension)")
 def _(spark, sf_dir):
     return fragments.parse_summary(_parsed(spark, sf_dir))
 

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import preview
 from ..operators import search as ops
-from ..operators.encode import Coverage, HashedWords, TextEncoder, VectorCache
-from ..operators.fragments import embedding_text, fragments
+from ..operators.encode import Coverage, HashedWords, PairScorer, ScoreCache, TextEncoder, VectorCache
+from ..operators.fragments import embedding_text, file_counts, fragments, summary
+from ..operators.scratch import written
 from ..operators.store import FragmentStore, store_stats, top5
 from ..sources.project import SearchRequest, parse, read_any
 
@@ -22,12 +24,14 @@ log = logging.getLogger(__name__)
 def hybrid(
     store: DataFrame, query_vector: list[float] | None, text: str | None, *, k: int = 5, metric: str = "cosine", filters: dict[str, Any] | None = None, rerank: bool = False, semantic=None, scorer=None,
     weights: tuple[float, float, float] = ops.WEIGHTS, keyword_filter: bool = True, mode: str = "overfetch", details: DataFrame | None = None, vector_col: str | None = None,
+    pairs: ScoreCache | None = None,
 ) -> DataFrame:
     """One plan for a search: three lists from one scan, their fusion, and the reranking if it is asked for and can be done.
 
     The vector list is fused only if there is a text. ``keyword_filter=False`` leaves the keyword list
     unfiltered. A rerank takes 4k candidates. Hits' columns come from ``details`` (the store itself if
-    there is none), by one late look-up; ``vector_col`` has the previews' vectors, if they are kept.
+    there is none), by one late look-up; ``vector_col`` has the previews' vectors, if they are kept;
+    ``pairs`` has scores of pairs from earlier searches and keeps new ones.
     The columns are the store's that a hit shows, ``ordinal``, ``score`` and, reranked,
     ``cross_score``; rows come in order.
     """
@@ -39,7 +43,7 @@ def hybrid(
     lists = ops.three_lists(store, query_vector, text, semantic or HashedWords(), many, metric=metric, filters=filters, keyword_filter=keyword_filter, mode=mode, vector_col=vector_col)
     hits = ops.looked_up(ops.fuse_lists(lists, many, weights, metric), shown, many)
     if rerank and scorer is not None:
-        return ops.rerank(hits, text, scorer, k)
+        return ops.rerank(hits, text, scorer, k, cache=pairs)
     return hits.limit(k)
 
 
@@ -48,30 +52,58 @@ def ops_columns(df: DataFrame) -> list[str]:
 
 
 class Engine:
-    """A store with its encoders. ``semantic`` encodes previews, ``scorer`` judges pairs; both are plug-ins."""
+    """A store with its encoders. ``semantic`` encodes previews, ``scorer`` judges pairs; both are plug-ins.
 
-    def __init__(self, spark: SparkSession, path: str, *, encoder: TextEncoder | None = None, semantic: TextEncoder | None = None, scorer=None, metric: str = "cosine", root: str = "src", sink: Callable[[dict], None] | None = None):
+    Vectors of contents and of previews and scores of pairs are kept by content and plug-in, so that
+    nothing is encoded or scored twice; the store's rows have the vectors that a search scans.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, *, encoder: TextEncoder | None = None, semantic: TextEncoder | None = None, scorer: PairScorer | None = None, metric: str = "cosine", root: str = "src",
+        sink: Callable[[dict], None] | None = None,
+    ):
         self.spark, self.encoder, self.semantic = spark, encoder or HashedWords(), semantic or HashedWords()
         self.scorer, self.root, self.sink = scorer or Coverage(), root, sink
-        self.store = FragmentStore(spark, f"{path.rstrip('/')}/store", self.encoder.dim, metric)
-        self.cache = VectorCache(spark, f"{path.rstrip('/')}/vectors")
-
-    def index(self, project: str, reload: bool = False) -> None:
-        """Scan, parse, fragment, encode and add; ``reload`` starts the store anew."""
-        if reload:
-            self.store.clear()
-        frags = fragments(parse(read_any(self.spark, project)))
+        path = path.rstrip("/")
+        self.store = FragmentStore(spark, f"{path}/store", self.encoder.dim, metric)
+        self.cache, self.meanings, self.pairs = VectorCache(spark, f"{path}/vectors"), VectorCache(spark, f"{path}/meanings"), ScoreCache(spark, f"{path}/pairs")
+
+    def index(self, project: str, reload: bool = False) -> dict[str, Any]:
+        """Scan, parse, fragment, encode and add; ``reload`` puts the result in place of what the store has.
+
+        Files are read once; what is told of them (``file_counts``) is counted on the way.
+        """
+        told = Observation()
+        parsed = parse(read_any(self.spark, project)).observe(told, *file_counts())
+        frags = written(fragments(parsed), "fragments")
+        files = summary(told.get)
+        self.add(frags, reload, files=files)
+        return files
+
+    def add(self, frags: DataFrame, reload: bool = False, **about: Any) -> None:
+        """Encode and add fragments, which are evaluated several times: a written table."""
         m = "metadata."
         text = embedding_text(F.col("type"), F.col("name"), F.col("content"), F.col(m + "component_name"), F.col(m + "props"), F.col(m + "components"), F.col(m + "file_name"))
         vectors = self.cache.encode(frags.select("id", text.alias("text")), "text", self.encoder).select("id", "embedding")
-        self.store.add(frags, vectors)
+        shown = frags.select("id", preview(F.col("content")).alias("text")).where(F.length("text") > 0)
+        meanings = self.meanings.encode(shown, "text", self.semantic, "meaning").select("id", "meaning")
+        self.store.add(frags, written(vectors, "vectors"), written(meanings, "meanings"), reload, semantic=self.semantic.name, **about)
+
+    def _meaning(self) -> str | None:
+        """The column of the previews' vectors, if all batches have those of this encoder."""
+        names = {e.about.get("semantic") for e in self.store.batches.entries() if e.count}
+        return "meaning" if names == {self.semantic.name} else None
 
     def search(self, request: SearchRequest, weights: tuple[float, float, float] = ops.WEIGHTS) -> DataFrame:
         return hybrid(
             self.store.read(), self.encoder.query(request.query), request.query, k=request.k, metric=self.store.metric, filters=request.filters, rerank=request.rerank, semantic=self.semantic,
-            scorer=self.scorer, weights=weights,
+            scorer=self.scorer, weights=weights, vector_col=self._meaning(), pairs=self.pairs,
         )
 
+    def words(self, query: str, k: int = 5, filters: dict[str, Any] | None = None) -> DataFrame:
+        """Keyword search alone, through the postings."""
+        return self.store.keyword_search(query, k, filters)
+
     def _hits(self, request: SearchRequest) -> DataFrame:
         """A search's hits with what a response needs, run once: at most k rows, which are read by the driver."""
         by = "cross_score" if request.rerank else "score"
@@ -110,7 +142,7 @@ class Engine:
         return ops.similar(self.store.read(), id_, k, self.store.metric)
 
     def fragment(self, id_: str) -> dict[str, Any]:
-        row = top5(ops.by_id(self.store.read(), id_)).drop("embedding").first()
+        row = top5(ops.by_id(self.store.read(), id_)).drop("embedding", "meaning").first()
         if row is None:
             raise KeyError(id_)
         return row.asDict()
@@ -123,8 +155,8 @@ class Engine:
 
     def stats(self) -> dict[str, Any]:
         store = self.store.read()
-        types = {r["type"]: r["n"] for r in store.groupBy("type").agg(F.count("*").alias("n")).collect()}
-        return store_stats(store, self.store.dim, self.store.metric, self.scorer.name).first().asDict() | {"fragment_types": types}
+        caches = {name: c.stats().first().asDict() for name, c in (("vectors", self.cache), ("meanings", self.meanings), ("pairs", self.pairs))}
+        return store_stats(store, self.store.dim, self.store.metric, self.scorer.name).first().asDict() | {"fragment_types": self.store.counts()["by_type"], "caches": caches}
 
     def status(self) -> dict[str, Any]:
-        return {"status": "ok", "fragments": self.store.read().count(), "encoder": self.encoder.name, "scorer": self.scorer.name}
+        return {"status": "ok", "fragments": self.store.counts()["total"], "encoder": self.encoder.name, "scorer": self.scorer.name}

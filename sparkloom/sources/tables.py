@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TYPES = "array('component','template','script','style','config','css','javascript','html','generic')"
+from .. import schema
+
+TYPES = "array(" + ", ".join(f"'{t}'" for t in schema.TYPES) + ")"
 PROP_NAMES = "array('item','dense','title','value','label','extra')"
 
 

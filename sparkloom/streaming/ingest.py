@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fragments import embedding_text, fragments
+from ..operators.fragments import fragments
+from ..operators.scratch import written
 from ..plans.engine import Engine
 from ..sources.project import EXTENSIONS, _source, parse
 
@@ -19,11 +20,7 @@ def ingest(engine: Engine, folder: str, checkpoint: str, available_now: bool = T
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
 
     def add(batch: DataFrame, _: int) -> None:
-        frags = fragments(parse(_source(batch).where(~F.col("ignored"))))
-        m = "metadata."
-        text = embedding_text(F.col("type"), F.col("name"), F.col("content"), F.col(m + "component_name"), F.col(m + "props"), F.col(m + "components"), F.col(m + "file_name"))
-        vectors = engine.cache.encode(frags.select("id", text.alias("text")), "text", engine.encoder).select("id", "embedding")
-        engine.store.add(frags, vectors)
+        engine.add(written(fragments(parse(_source(batch).where(~F.col("ignored")))), "fragments"))
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
