@@ -44,6 +44,12 @@ class HashedWords:
         return vector.hashed_query(text, self.dim)
 
 
+def unit_vector(v: list[float]) -> list[float] | None:
+    """A vector of length 1; a zero vector has no direction."""
+    size = sum(x * x for x in v) ** 0.5
+    return [x / size for x in v] if size else None
+
+
 class BatchEncoder:
     """A model: ``make()`` loads it once in each worker, and gives a function of a list of texts."""
 
@@ -51,22 +57,21 @@ class BatchEncoder:
         self.name, self.dim, self.make, self.batch_size, self.normalize = name, dim, make, batch_size, normalize
 
     def column(self, text: Column) -> Column:
-        make, size = self.make, self.batch_size
+        make, size, unit = self.make, self.batch_size, self.normalize
 
         @F.pandas_udf("array<double>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             run = make()
             for batch in batches:
                 texts = batch.fillna("").tolist()
-                yield pd.Series([v for i in range(0, len(texts), size) for v in run(texts[i : i + size])], dtype=object)
+                made = [v for i in range(0, len(texts), size) for v in run(texts[i : i + size])]
+                yield pd.Series([unit_vector(v) for v in made] if unit else made, dtype=object)
 
-        out = encode(text)
-        return vector.normalized(out) if self.normalize else out
+        return encode(text)
 
     def query(self, text: str) -> list[float]:
         v = list(self.make()([text])[0])
-        size = sum(x * x for x in v) ** 0.5
-        return [x / size for x in v] if self.normalize and size else v
+        return unit_vector(v) or v if self.normalize else v
 
 
 class Coverage:

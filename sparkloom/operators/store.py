@@ -170,10 +170,13 @@ class FragmentStore:
         return top(scored.drop("embedding", "meaning", "full_content"), "score", k)
 
     def matches(self, query: str) -> DataFrame:
-        """The rows with one of the query's terms in their preview."""
+        """The rows with one of the query's terms in their preview; the postings name few others."""
+        low, has = F.lower(F.col("content_preview")), F.lit(False)
+        for term in dict.fromkeys(query.lower().split()):
+            has |= F.contains(low, F.lit(term))
         entries = self.batches.entries()
         index = self.batches.read("grams", POSTINGS, entries, first="first")
-        return self.batches.read("rows", STORE, entries, ordinal="ordinal").join(candidates(index, query, "first"), "ordinal")
+        return self.batches.read("rows", STORE, entries, ordinal="ordinal").join(candidates(index, query, "first"), "ordinal").where(has)
 
     def counts(self) -> dict[str, Any]:
         """What was counted as the batches were written, summed; nothing is scanned."""

@@ -40,7 +40,10 @@ def postings(rows: DataFrame, text_col: str = "content_preview", place: str = "p
 
 
 def candidates(index: DataFrame, query: str, first: str | None = None) -> DataFrame:
-    """``ordinal`` of every text with one of the query's terms, from postings (with their batch's ``first`` ordinal)."""
+    """``ordinal`` of every text with one of the query's terms, from postings (with their batch's ``first`` ordinal).
+
+    A text with all triples of a longer term may not have the term; those are for the caller to drop.
+    """
     needed = {t: grams_of(t) for t in dict.fromkeys(query.lower().split())}
     every = list(dict.fromkeys(g for gs in needed.values() for g in gs))
     begin = F.col(first) if first else F.lit(0).cast("long")

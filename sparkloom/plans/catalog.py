@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import component, text, vector
-from ..operators import encode, filters, fragments, search, store, training
+from ..operators import encode, filters, fragments, scratch, search, store, training
 from ..schema import TYPES
 from ..sources import project, tables
 from .engine import hybrid
@@ -313,6 +314,17 @@ def _(spark, sf_dir):
     return _frags(spark, sf_dir).select("metadata.file_path", "type", "name", "content", F.array_join("metadata.props", ",").alias("props"))
 
 
+@query(
+    "fragment_other_files",
+    """WITH f AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.md' ELSE '' END AS extension FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL)
+    SELECT 'site/' || source || '/' || doc_id || extension AS file_path, CASE WHEN extension = '.html' THEN 'html' ELSE 'generic' END AS type, doc_id || extension AS name, text AS content, extension,
+    CASE WHEN extension = '.html' THEN 'html' END AS file_type FROM f""",
+)
+def _(spark, sf_dir):
+    found = fragments.fragments(project.parse(tables.documents_as_other_files(spark, sf_dir)))
+    return found.select("metadata.file_path", "type", "name", "content", "metadata.extension", "metadata.file_type")
+
+
 @query("fragment_types", f"WITH {FRAGS} SELECT type, count(*) AS n FROM g GROUP BY type")
 def _(spark, sf_dir):
     return fragments.type_counts(_frags(spark, sf_dir))
@@ -421,6 +433,53 @@ def _(spark, sf_dir):
     return store.numbered(tables.table(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("source"), F.col("doc_id")]).select("doc_id", "ordinal")
 
 
+def _stored(spark, sf_dir, meanings: bool = False) -> store.FragmentStore:
+    """Documents with their vectors, as they are, in a store of their own in the shared folder."""
+    out = store.FragmentStore(spark, f"{scratch.shared_dir(spark)}/sparkloom/store-{uuid.uuid4().hex}", 64, "ip")
+    vectors = tables.table(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) AS id", "embedding")
+    frags = tables.documents_as_fragments(spark, sf_dir)
+    shown = frags.select("id", encode.HashedWords(DIM).column(text.preview(F.col("content"))).alias("meaning")).where(F.size("meaning") > 0)
+    out.add(frags, vectors, scratch.written(shown, "meanings") if meanings else None)
+    return out
+
+
+IN_ORDER = ("SELECT d.*, embedding FROM d JOIN embeddings ON ordinal = vec_id", "SELECT d.* REPLACE (row_number() OVER (ORDER BY file_path, type, id) - 1 AS ordinal), embedding FROM d JOIN embeddings ON d.ordinal = vec_id")
+
+
+@query("store_keyword_topk", f"WITH {S} SELECT id, type, round({KEYWORD}, 6) AS score FROM s WHERE {KEYWORD} > 0 ORDER BY {KEYWORD} DESC, ordinal LIMIT 20".replace(*IN_ORDER))
+def _(spark, sf_dir):
+    """Through the postings; ties go by the order of insertion."""
+    return _rounded(_stored(spark, sf_dir).keyword_search(QUERY, 20).select("id", "type", "score"), "score")
+
+
+@query("store_keyword_matches", f"WITH {S} SELECT id FROM s WHERE {KEYWORD} > 0")
+def _(spark, sf_dir):
+    return _stored(spark, sf_dir).matches(QUERY).select("id")
+
+
+@query("store_hybrid", (_hybrid_sql(10) + " SELECT id, round(score, 6) AS score FROM hits").replace(*IN_ORDER))
+def _(spark, sf_dir):
+    """As ``hybrid_fusion``, over a store that keeps the vectors of previews."""
+    hits = hybrid(_stored(spark, sf_dir, True).read(), _anchor(spark, sf_dir), QUERY, k=10, semantic=encode.HashedWords(DIM), vector_col="meaning")
+    return _rounded(hits.select("id", "score"), "score")
+
+
+@query("store_vector_by_id", f"SELECT vec_id::VARCHAR AS id, place - 1 AS place, round(embedding[place]::DOUBLE, 6) AS x FROM embeddings, range(1, 65) r(place) WHERE vec_id = {ANCHOR}")
+def _(spark, sf_dir):
+    found = _stored(spark, sf_dir).vector(str(ANCHOR))
+    return _rounded(spark.createDataFrame([(str(ANCHOR), i, x) for i, x in enumerate(found or ())], "id string, place long, x double"), "x")
+
+
+@query("store_lists_of_five", f"WITH {S} SELECT id, array_to_string(props[1:5], ',') AS props FROM s WHERE type = 'component'")
+def _(spark, sf_dir):
+    return store.top5(_stored(spark, sf_dir).read().where("type = 'component'")).select("id", F.array_join("props", ",").alias("props"))
+
+
+@query("store_file_by_path", f"WITH {S} SELECT {LIGHT} FROM s WHERE file_path = '{FILE_PATH}'")
+def _(spark, sf_dir):
+    return search.by_file(_stored(spark, sf_dir).read(), FILE_PATH)
+
+
 # ---- training
 
 EX = """e AS (SELECT 'turn:' || u.conv_id || '/' || u.turn AS fragment_id, u.text AS query, a.text AS passage FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -440,6 +499,17 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
+@query(
+    "train_last_passage",
+    f"""{EX.replace("e AS (", "WITH e AS (", 1)} SELECT 'turn:' || c AS fragment_id, passage FROM (SELECT split_part(split_part(fragment_id, ':', 2), '/', 1) AS c, passage,
+    row_number() OVER (PARTITION BY split_part(split_part(fragment_id, ':', 2), '/', 1) ORDER BY split_part(fragment_id, '/', 2)::BIGINT DESC) AS r FROM e) WHERE r = 1""",
+)
+def _(spark, sf_dir):
+    """Examples whose id repeats: a conversation's turns under one path; the last passage stays."""
+    examples = tables.conversations_as_examples(spark, sf_dir).withColumn("fragment_path", F.split("fragment_path", "/")[0])
+    return training.passages(examples, "position")
+
+
 @query("train_positive_only", f"WITH {EX} SELECT query, passage, 1 AS label FROM e")
 def _(spark, sf_dir):
     return training.positives(tables.conversations_as_examples(spark, sf_dir)).select("query", "passage", "label")

@@ -28,10 +28,27 @@ def documents_as_store(spark: SparkSession, sf_dir: str, vectors: str = "inner")
     return docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), "embedding"), "ordinal", vectors)
 
 
+def documents_as_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fragments that a store takes."""
+    d = documents_as_store(spark, sf_dir, "none")
+    text, names = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    info = F.struct("file_path", "file_name", "component_name", "props", names.alias("components"), text.alias("extension"), text.alias("file_type"))
+    return d.select("id", "type", "name", F.col("full_content").alias("content"), info.alias("metadata"))
+
+
 def vectors_as_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) AS id", "vec_id AS ordinal", "embedding", "label")
 
 
+def documents_as_other_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files that are no components: pages and what else there may be."""
+    ext = "CASE doc_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.md' ELSE '' END"
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"concat('site/', source, '/', doc_id, {ext}) AS path", f"concat(doc_id, {ext}) AS file_name", f"{ext} AS extension", "cast(octet_length(text) as long) AS size", "text AS raw_content", "cast(null as string) AS error",
+        "doc_id % 10 = 0 AS ignored",
+    )
+
+
 #: A component's source made of a document; the same expression is SQL for both engines.
 SOURCE = """concat(
   CASE WHEN doc_id % 5 <> 0 THEN concat('<template>', chr(10), '  <div>', text, '</div>', chr(10), '</template>', chr(10)) ELSE '' END,
