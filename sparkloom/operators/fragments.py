@@ -52,6 +52,23 @@ def type_counts(frags: DataFrame) -> DataFrame:
 
 
 def fragment_stats(frags: DataFrame) -> DataFrame:
+    """One row: all fragments, how many of each type, and components with props and with components of their own.
+
+    Nothing has a ``by_component_type``, which is an empty map. Counts by file, as many as there are
+    files, are in ``fragment_stats_table``.
+    """
+    component = F.col("type") == "component"
+    types = frags.groupBy("type").agg(
+        F.count("*").alias("n"), F.count_if(component & (F.size("metadata.props") > 0)).alias("props"), F.count_if(component & (F.size("metadata.components") > 0)).alias("components")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return types.agg(
+        total("n").alias("total_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"), F.create_map().cast("map<string,long>").alias("by_component_type"),
+        total("props").alias("has_props"), total("components").alias("has_components"),
+    )
+
+
+def fragment_stats_table(frags: DataFrame) -> DataFrame:
     """``stat, key, n``: ``total_count``, ``has_props`` and ``has_components`` (components with any; no key), ``by_type`` and ``by_file``.
 
     It is a table as there are as many files as there may be. Nothing has a ``by_component_type``, so

@@ -332,12 +332,22 @@ def _(spark, sf_dir):
 
 @query(
     "fragment_stats",
+    f"""WITH {FRAGS} SELECT count(*) AS total_count, (SELECT string_agg(type || ':' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM g GROUP BY type)) AS by_type, '' AS by_component_type,
+    count(*) FILTER (type = 'component' AND len(props) > 0) AS has_props, count(*) FILTER (type = 'component' AND len(components) > 0) AS has_components FROM g""",
+)
+def _(spark, sf_dir):
+    as_text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return fragments.fragment_stats(_frags(spark, sf_dir)).withColumns({c: as_text(c) for c in ("by_type", "by_component_type")})
+
+
+@query(
+    "fragment_stats_table",
     f"""WITH {FRAGS} SELECT 'total_count' AS stat, NULL AS key, count(*) AS n FROM g UNION ALL SELECT 'has_props', NULL, count(*) FROM g WHERE type = 'component' AND len(props) > 0
     UNION ALL SELECT 'has_components', NULL, count(*) FROM g WHERE type = 'component' AND len(components) > 0
     UNION ALL SELECT 'by_type', type, count(*) FROM g GROUP BY type UNION ALL SELECT 'by_file', path, count(*) FROM g GROUP BY path""",
 )
 def _(spark, sf_dir):
-    return fragments.fragment_stats(_frags(spark, sf_dir))
+    return fragments.fragment_stats_table(_frags(spark, sf_dir))
 
 
 @query("fragments_by_file", f"WITH {FRAGS} SELECT f.path, count(g.path) AS n_fragments FROM f LEFT JOIN g USING (path) GROUP BY f.path")

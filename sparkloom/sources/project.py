@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import component
 from ..functions.text import basename, extension
 from ..schema import EXAMPLES, SOURCE_FILES
-
-#: Names that a scan reads, by how they end, and what in a path makes it be left out.
-EXTENSIONS = (".vue", ".js", ".ts", ".css")
-IGNORED = r"\.git|node_modules|\.idea|build|dist|\.env"
+from .files import listed_files, opened, project_files
+from .names import EXTENSIONS, IGNORED
 
 
 def is_ignored(path: Column) -> Column:
@@ -38,59 +35,47 @@ def file_info(df: DataFrame, path: str = "path", size: str = "size") -> DataFram
 
 
 def _source(df: DataFrame) -> DataFrame:
-    """``path, length, content`` in the schema of source files; ignored files keep neither text nor error."""
+    """``path, length, content`` (and why it ``failed``) in the schema of source files; ignored files keep neither text nor error."""
     text, error = decoded(F.col("content"))
+    if "failed" in df.columns:
+        error = F.coalesce("failed", error)
     df = file_info(df.withColumn("size", F.col("length")))
     out = df.withColumns({"ignored": is_ignored(F.col("path")), "raw_content": text, "error": error})
     out = out.withColumns({c: F.when(~F.col("ignored"), F.col(c)) for c in ("raw_content", "error")})
     return out.selectExpr(*[f"{c.split()[0]}" for c in SOURCE_FILES.split(", ")])
 
 
-def read_project(spark: SparkSession, path: str) -> DataFrame:
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """All files of a tree whose names end in one of ``EXTENSIONS``, those of ignored paths left out.
 
-    Spark's own reader lists and reads in parallel on any file system. It passes over names that begin
-    with a dot or an underscore; ``read_project_local`` reads these too.
+    The data source of ``files`` lists the tree, names that begin with a dot or an underscore
+    included, deals the files by size, and reads each once. A folder that isn't there is an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(EXTENSIONS) + "}").load(path)
-    return _source(files).where(~F.col("ignored"))
-
+    return _source(project_files(spark, path))
 
-def read_project_local(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_project``, hidden names included, from a folder that driver and executors share."""
-    if not os.path.isdir(path):
-        raise FileNotFoundError(path)
-    names = [os.path.join(d, f) for d, _, files in os.walk(path) for f in files if f.endswith(EXTENSIONS)]
-    return read_files(spark, sorted(names)).where(~F.col("ignored"))
 
+#: The same: any folder that driver and executors share.
+read_project_local = read_tree
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row for each path, in shared folders: missing and undecodable files have an error, ignored ones no text."""
 
-    def load(batches: Iterable) -> Iterator:
-        import pandas as pd
+def read_project(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_tree`` by Spark's own reader, for file systems that pyarrow doesn't open; it passes over names that begin with a dot or an underscore."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(EXTENSIONS) + "}").load(path)
+    return _source(files).where(~F.col("ignored"))
 
-        for pdf in batches:
-            rows = []
-            for p in pdf["path"]:
-                try:
-                    with open(p, "rb") as f:
-                        content = f.read()
-                    rows.append((p, len(content), content, None))
-                except OSError as e:
-                    rows.append((p, 0, None, f"can't be read: {e.strerror}"))
-            yield pd.DataFrame(rows, columns=["path", "length", "content", "failed"])
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    found = listed.mapInPandas(load, "path string, length long, content binary, failed string")
-    failed = found.select(F.col("path").alias("p"), "failed")
-    out = _source(found.drop("failed"))
-    return out.join(failed, F.col("path") == F.col("p"), "left").withColumn("error", F.coalesce("error", F.when(~F.col("ignored"), F.col("failed")))).drop("p", "failed")
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each path: missing and undecodable files have an error, ignored ones no text."""
+    return _source(listed_files(spark, paths))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Names that begin with a dot or an underscore are read wherever the tree is a folder; elsewhere Spark's reader passes over them."""
-    return read_project_local(spark, path) if os.path.isdir(path) else read_project(spark, path)
+    """``read_tree`` wherever pyarrow opens the file system, else ``read_project``."""
+    try:
+        opened(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return read_project(spark, path)
+    return read_tree(spark, path)
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -89,3 +89,38 @@ def test_fragments(spark, tree):
 )
 def test_ignored(spark, path, ignored):
     assert spark.range(1).select(project.is_ignored(F.lit(path))).first()[0] is ignored
+
+
+def test_scan_of_a_uri(spark, tree):
+    """Hidden names are read through a URI too; nothing is joined with itself; files are dealt by size."""
+    df = project.read_any(spark, f"file:{tree}")
+    assert {r["file_name"] for r in df.collect()} >= {".h.js", "_h.ts", "a.js"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("BatchScan") == 1
+    every = {r["path"]: r for r in project.read_tree(spark, str(tree)).collect()}
+    assert {r["path"]: r for r in df.collect()} == every
+    from sparkloom.sources import files
+
+    small = files.project_files(spark, str(tree), target_bytes=1)
+    assert small.rdd.getNumPartitions() == len(every) and small.count() == len(every)
+    with pytest.raises(Exception, match="no such folder"):
+        project.read_tree(spark, str(tree / "nothing")).collect()
+
+
+def test_files_are_dealt_by_size():
+    from sparkloom.sources.files import OPENING_BYTES, dealt
+
+    sizes = [(f"p{k:02}", f"p{k:02}", (k * 37 % 11) * 100_000) for k in range(40)] + [("huge", "huge", 10_000_000)]
+    parts = dealt(sizes, 1_000_000)
+    of = {p: n for p, _, n in sizes}
+    assert sorted(p for part in parts for p, _ in part) == sorted(of)
+    assert all(len(part) == 1 or sum(of[p] + OPENING_BYTES for p, _ in part) <= 1_000_000 for part in parts)
+    assert dealt([], 5) == []
+
+
+def test_a_file_is_read_once(spark, tree):
+    """Fragments of a tree come from one scan; what can't be opened is a row of its own."""
+    found = fragments.fragments(project.parse(project.read_tree(spark, str(tree))))
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    rows = {r["path"]: r for r in project.read_files(spark, [str(tree / "none.js"), str(tree), str(tree / "src" / "a.js")]).collect()}
+    assert rows[str(tree / "none.js")]["error"].startswith("can't be read") and rows[str(tree)]["error"].startswith("can't be read")
