@@ -71,3 +71,11 @@ def coverage(text: Column, query: str) -> Column:
     for term in terms:
         score = score + F.when(F.array_contains(words, term), F.lit(1.0)).when(F.contains(low, F.lit(term)), F.lit(0.5)).otherwise(F.lit(0.0))
     return score / F.lit(float(max(1, len(terms))))
+
+
+def pair_coverage(text: Column, query: Column) -> Column:
+    """``coverage`` for queries in a column; a query without terms covers nothing."""
+    terms = F.array_distinct(tokens(F.coalesce(query, F.lit(""))))
+    low, words = F.lower(F.coalesce(text, F.lit(""))), tokens(F.coalesce(text, F.lit("")))
+    part = lambda t: F.when(F.array_contains(words, t), F.lit(1.0)).when(F.contains(low, t), F.lit(0.5)).otherwise(F.lit(0.0))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + part(t)) / F.greatest(F.lit(1.0), F.size(terms).cast("double"))

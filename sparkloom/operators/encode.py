@@ -82,14 +82,19 @@ class Coverage:
     def column(self, query: str, passage: Column) -> Column:
         return text_functions.coverage(passage, query)
 
+    def pairs(self, query: Column, passage: Column) -> Column:
+        return text_functions.pair_coverage(passage, query)
+
 
 class PairScorer(Protocol):
-    """Scores of passages for a query; higher is better."""
+    """Scores of passages for a query, or for a query each; higher is better."""
 
     name: str
 
     def column(self, query: str, passage: Column) -> Column: ...
 
+    def pairs(self, query: Column, passage: Column) -> Column: ...
+
 
 class BatchScorer:
     """A model of pairs: ``make()`` gives a function of a query and a list of passages."""
@@ -109,6 +114,21 @@ class BatchScorer:
 
         return score(passage)
 
+    def pairs(self, query: Column, passage: Column) -> Column:
+        make, size = self.make, self.batch_size
+
+        @F.pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            run = make()
+            for queries, texts in batches:
+                out = pd.Series(0.0, index=texts.index)
+                for q, own in texts.fillna("").groupby(queries.fillna(""), sort=False):
+                    found = [float(s) for i in range(0, len(own), size) for s in run(q, own.iloc[i : i + size].tolist())]
+                    out.loc[own.index] = found
+                yield out
+
+        return score(query, passage)
+
 
 def content_key(text: Column, name: str) -> Column:
     """The key of a cached vector: encoder and content, not the fragment's id."""

@@ -125,6 +125,12 @@ class FragmentStore:
     def read(self) -> DataFrame:
         return self.batches.read("rows", STORE, ordinal="ordinal")
 
+    def view(self, name: str) -> DataFrame:
+        """The committed rows as a temporary view, for Spark SQL."""
+        rows = self.read()
+        rows.createOrReplaceTempView(name)
+        return rows
+
     def is_empty(self) -> bool:
         return not sum(e.count for e in self.batches.entries())
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .store import numbered
 
 
@@ -32,7 +35,7 @@ def training_pairs(examples: DataFrame, position: str, negatives: int = 3) -> Da
     own = positives(examples)
     pool = passages(examples, position).select(F.col("fragment_id").alias("other_id"), F.col("passage").alias("other"))
     ring = numbered(pool.withColumn("_m", F.md5("other_id")), [F.col("_m"), F.col("other_id")], "place").drop("_m")
-    n = pool.count()
+    n = (ring.agg(F.max("place")).first()[0] or 0) + 1  # of the rows as they were written; one or none are no ring
     if n < 2:
         return own
     start = F.conv(F.substring(F.md5(F.concat_ws("|", "fragment_id", "query")), 1, 8), 16, 10).cast("long") % n
@@ -43,15 +46,33 @@ def training_pairs(examples: DataFrame, position: str, negatives: int = 3) -> Da
     return own.unionByName(drawn.select("fragment_id", "query", F.col("other").alias("passage"), F.lit(0).alias("label")))
 
 
+#: Hex digits of the MD5 that rows are counted by: about a million buckets a label.
+DIGITS = 5
+
+
 def stratified_split(pairs: DataFrame, key_cols: list[str], share: float = 0.1, label: str = "label") -> DataFrame:
-    """``is_validation`` for the first ``share`` of each label in the order of an MD5 of the key."""
-    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
-    order = [F.col(label), F.col("_key"), *map(F.col, key_cols)]
-    ranked = numbered(pairs.withColumn("_key", key), order, "_place")
-    # a row for each label
-    labels = ranked.groupBy(label).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    out = ranked.join(F.broadcast(labels), label)
-    return out.withColumn("is_validation", F.col("_place") - F.col("_first") < F.ceil(F.col("_n") * F.lit(share))).drop("_key", "_place", "_first", "_n")
+    """``is_validation`` for the first ``share`` of each label in the order of an MD5 of the key (ties by the key).
+
+    The rows are not sorted. A count by the MD5's first digits tells the bucket in which a label's
+    share ends; rows of other buckets are on one side of it, and only those of that bucket, a
+    millionth of all unless keys repeat, are numbered. ``pairs`` is evaluated three times.
+    """
+    own = f"_{uuid.uuid4().hex}"  # no column of the input has this name
+    key, head, cut = f"{own}key", f"{own}head", f"{own}cut"
+    rows = pairs.withColumn(key, F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))).withColumn(head, F.substring(key, 1, DIGITS))
+    counts = rows.groupBy(F.col(label).alias("label"), F.col(head).alias("head")).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("label")
+    before = F.sum("n").over(of.orderBy("head")) - F.col("n")
+    ends = counts.withColumns({"before": before, "wanted": F.ceil(F.sum("n").over(of) * F.lit(share))}).where("before < wanted AND before + n >= wanted")
+    ends = ends.select(F.col("label").alias(f"{own}label"), F.struct("head", "before", "wanted").alias(cut))  # a row a label
+    met = rows.join(ends, F.col(label).eqNullSafe(F.col(f"{own}label")), "left").drop(f"{own}label")
+    inside = F.coalesce(F.col(head) == F.col(f"{cut}.head"), F.lit(False))
+    sure = met.where(~inside).withColumn("is_validation", F.coalesce(F.col(head) < F.col(f"{cut}.head"), F.lit(False)))
+    edge = numbered(met.where(inside), [F.col(label), F.col(key), *map(F.col, key_cols)], f"{own}at")
+    first = edge.groupBy(F.col(label).alias(f"{own}label")).agg(F.min(f"{own}at").alias(f"{own}first"))
+    edge = edge.join(first, F.col(label).eqNullSafe(F.col(f"{own}label"))).withColumn("is_validation", F.col(f"{own}at") - F.col(f"{own}first") + F.col(f"{cut}.before") < F.col(f"{cut}.wanted"))
+    names = [*pairs.columns, "is_validation"]
+    return sure.select(*names).unionByName(edge.select(*names))
 
 
 def label_counts(pairs: DataFrame) -> DataFrame:
@@ -61,3 +82,28 @@ def label_counts(pairs: DataFrame) -> DataFrame:
 def hit_at_k(ranked: DataFrame, k: int = 3) -> DataFrame:
     """``query, hit`` from ``query, rank, id, correct_id``: whether the right one is among the first k."""
     return ranked.where(F.col("rank") <= k).groupBy("query").agg(F.max((F.col("id") == F.col("correct_id")).cast("int")).alias("hit"))
+
+
+#: Questions that are broadcast at most; they are counted.
+SENT_QUESTIONS = 10_000
+
+
+def right_ranks(passages: DataFrame, questions: DataFrame, scorer, digits: int = 12) -> DataFrame:
+    """``query, correct_id, rank`` of questions ``query, correct_id, passage`` among ``fragment_id, passage``.
+
+    A right passage's rank is one plus the number of better ones (a higher score, or an equal one and a
+    lesser id), which is counted for all questions in one scan of the passages; scores are rounded to
+    ``digits``, so that what is equal stays so however it is summed.
+    """
+    asked = questions.withColumn("own", F.round(scorer.pairs(F.col("query"), F.col("passage")), digits)).select("query", "correct_id", "own")
+    asked = written(asked, "questions")  # each is scored once
+    few = asked.limit(SENT_QUESTIONS + 1).count() <= SENT_QUESTIONS
+    met = passages.select("fragment_id", F.col("passage").alias("other")).crossJoin(F.broadcast(asked) if few else asked)  # a stated set of questions, against all rows
+    score = F.round(scorer.pairs(F.col("query"), F.col("other")), digits)
+    better = F.count_if((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("fragment_id") < F.col("correct_id"))))
+    return met.withColumn("score", score).groupBy("query", "correct_id").agg((better + 1).alias("rank"))
+
+
+def evaluated(ranks: DataFrame, k: int = 3) -> DataFrame:
+    """One row: questions, the share whose right passage is among the first k, and the mean of 1 / rank."""
+    return ranks.agg(F.count("*").alias("questions"), F.avg((F.col("rank") <= k).cast("double")).alias("hit_rate"), F.avg(F.lit(1.0) / F.col("rank")).alias("mrr"))

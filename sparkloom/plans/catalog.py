@@ -551,14 +551,9 @@ TESTED = 3
 def _(spark, sf_dir):
     """The first three examples' questions, as this check is defined, each against all passages."""
     own = training.keyed_examples(tables.conversations_as_examples(spark, sf_dir))
-    ranked = None
-    for row in own.orderBy("fragment_id").limit(TESTED).collect():
-        hits = own.select(F.col("fragment_id").alias("id"), F.round(text.coverage(F.col("fragment_summary"), row["questions"][0]), 12).alias("s")).orderBy(F.desc("s"), "id").limit(3)
-        best = hits.select(F.lit(row["questions"][0]).alias("query"), F.lit(1).alias("rank"), "id", F.lit(row["fragment_id"]).alias("correct_id"))
-        ranked = best if ranked is None else ranked.unionByName(best)
-    if ranked is None:
-        return spark.createDataFrame([], "query string, hit int")
-    return training.hit_at_k(ranked)
+    asked = own.orderBy("fragment_id").limit(TESTED).select(F.col("questions")[0].alias("query"), F.col("fragment_id").alias("correct_id"), F.col("fragment_summary").alias("passage"))
+    ranks = training.right_ranks(own.select("fragment_id", F.col("fragment_summary").alias("passage")), asked, encode.Coverage())
+    return ranks.groupBy("query").agg(F.max((F.col("rank") <= 3).cast("int")).alias("hit"))
 
 
 @query("pair_cache_key", "SELECT doc_id, item_id, md5(b.text || '|' || d.text) AS key FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark) b ON b.at = d.doc_id % b.n")
