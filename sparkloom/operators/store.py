@@ -16,7 +16,7 @@ from ..schema import STORE, TYPES
 from .batches import Batches, Entry
 from .filters import apply
 from .nearest import matrix
-from .scratch import written
+from .scratch import scope, written
 from .search import top, unpacked
 from .words import POSTINGS, candidates, postings
 
@@ -168,7 +168,8 @@ class FragmentStore:
                 self.batches.write(postings(placed), "grams", batch, bloom=("gram",))
             return batch, counts["total"], about | {"counts": counts}
 
-        return self.batches.append(make, replaces)
+        with scope(self.spark):
+            return self.batches.append(make, replaces)
 
     def keyword_search(self, query: str, k: int = 20, filters: dict[str, Any] | None = None) -> DataFrame:
         """The k best by keyword score; only rows that the postings name are scored."""

@@ -14,7 +14,7 @@ from ..functions.text import preview
 from ..operators import search as ops
 from ..operators.encode import Coverage, HashedWords, PairScorer, ScoreCache, TextEncoder, VectorCache
 from ..operators.fragments import embedding_text, file_counts, fragments, summary
-from ..operators.scratch import written
+from ..operators.scratch import scope, written
 from ..operators.store import FragmentStore, store_stats, top5
 from ..sources.project import SearchRequest, parse, read_any
 
@@ -75,19 +75,21 @@ class Engine:
         """
         told = Observation()
         parsed = parse(read_any(self.spark, project)).observe(told, *file_counts())
-        frags = written(fragments(parsed), "fragments")
-        files = summary(told.get)
-        self.add(frags, reload, files=files)
+        with scope(self.spark):
+            frags = written(fragments(parsed), "fragments")
+            files = summary(told.get)
+            self.add(frags, reload, files=files)
         return files
 
     def add(self, frags: DataFrame, reload: bool = False, **about: Any) -> None:
         """Encode and add fragments, which are evaluated several times: a written table."""
-        m = "metadata."
-        text = embedding_text(F.col("type"), F.col("name"), F.col("content"), F.col(m + "component_name"), F.col(m + "props"), F.col(m + "components"), F.col(m + "file_name"))
-        vectors = self.cache.encode(frags.select("id", text.alias("text")), "text", self.encoder).select("id", "embedding")
-        shown = frags.select("id", preview(F.col("content")).alias("text")).where(F.length("text") > 0)
-        meanings = self.meanings.encode(shown, "text", self.semantic, "meaning").select("id", "meaning")
-        self.store.add(frags, written(vectors, "vectors"), written(meanings, "meanings"), reload, semantic=self.semantic.name, **about)
+        with scope(self.spark):
+            m = "metadata."
+            text = embedding_text(F.col("type"), F.col("name"), F.col("content"), F.col(m + "component_name"), F.col(m + "props"), F.col(m + "components"), F.col(m + "file_name"))
+            vectors = self.cache.encode(frags.select("id", text.alias("text")), "text", self.encoder).select("id", "embedding")
+            shown = frags.select("id", preview(F.col("content")).alias("text")).where(F.length("text") > 0)
+            meanings = self.meanings.encode(shown, "text", self.semantic, "meaning").select("id", "meaning")
+            self.store.add(frags, written(vectors, "vectors"), written(meanings, "meanings"), reload, semantic=self.semantic.name, **about)
 
     def _meaning(self) -> str | None:
         """The column of the previews' vectors, if all batches have those of this encoder."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fragments import fragments
-from ..operators.scratch import written
+from ..operators.scratch import scope, written
 from ..plans.engine import Engine
 from ..sources.project import EXTENSIONS, _source, parse
 
@@ -20,7 +20,8 @@ def ingest(engine: Engine, folder: str, checkpoint: str, available_now: bool = T
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
 
     def add(batch: DataFrame, _: int) -> None:
-        engine.add(written(fragments(parse(_source(batch).where(~F.col("ignored")))), "fragments"))
+        with scope(spark):
+            engine.add(written(fragments(parse(_source(batch).where(~F.col("ignored")))), "fragments"))
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
