@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
-
+from sparkloom.operators import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; unset, a local master gets one of its own; a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="sparkloom-")
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    return base.rstrip("/")
+_SCRATCH: list[str] = []
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
+    path = scratch.scratch_path(spark, tag)
     _SCRATCH.append(path)
     return path
 
@@ -58,6 +43,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, a saved table unique in ``on`` that has ``n``, how many of the rows have each.
+
+    Rows of a key with more than a quarter of a partition's share are dealt over all partitions, and the
+    key with them; there are at most four such keys for each partition, which are broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(10_000, (keys.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    hot = F.broadcast(keys.where(F.col("n") > most).select(*on, F.lit(True).alias("_hot")))
+    spread = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.monotonically_increasing_id() % parts).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    every = F.when(F.col("n") > most, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return spread.join(keys.withColumn("_salt", F.explode(every)), [*on, "_salt"]).drop("_salt")
+
+
 def ranked(rows: DataFrame, group: str, order: list[Column], tag: str) -> DataFrame:
     """``rows`` with ``at``, their place from 0 in their ``group`` (which isn't null), and ``total``, the group's rows.
 
