@@ -221,5 +221,23 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
-    """Fuzzy line dedup of the whole ``documents`` table."""
-    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed_lines")
+    """Fuzzy line dedup of the whole ``documents`` table; the places of removed lines are joined by commas."""
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"))
+
+
+#: All pairs of distinct lines that share one of a line's rarest shingles, as many as a pair at the threshold can't miss, compared in full.
+OP7_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+pl AS (SELECT rid, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
+own AS (SELECT * FROM pl WHERE length(trim(line, ' ')) >= 20),
+u AS (SELECT line, row_number() OVER () AS lid, list_distinct(list_transform(range(1, length(line) - {SHINGLE - 2}), lambda i: substring(line, i, {SHINGLE}))) AS s FROM (SELECT DISTINCT line FROM own)),
+g AS (SELECT lid, len(s) AS n, unnest(s) AS g FROM u),
+few AS (SELECT * FROM (SELECT lid, n, g, row_number() OVER (PARTITION BY lid ORDER BY f, g) AS r FROM g JOIN (SELECT g, count(*) AS f FROM g GROUP BY g) USING (g)) WHERE r <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.lid AS x, b.lid AS y FROM few a JOIN few b USING (g) WHERE a.lid < b.lid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT x, y, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS n FROM c JOIN u a ON a.lid = x JOIN u b ON b.lid = y),
+l AS (SELECT x, y FROM m WHERE 100 * shared >= 80 * (n - shared) UNION ALL SELECT y, x FROM m WHERE 100 * shared >= 80 * (n - shared)),
+e(x, y) AS (SELECT lid, lid FROM u UNION SELECT e.x, l.y FROM e JOIN l ON l.x = e.y),
+k AS (SELECT x AS lid, min(y) AS class FROM e GROUP BY x),
+p AS (SELECT rid, pos, row_number() OVER (PARTITION BY class ORDER BY doc_id NULLS LAST, pos) AS nth FROM own JOIN u USING (line) JOIN k USING (lid)),
+gone AS (SELECT rid, list(pos ORDER BY pos) AS gone FROM p WHERE nth > 1 GROUP BY rid)
+SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(ls, range(len(ls))), lambda z: NOT list_contains(coalesce(gone, []), z[2])), lambda z: z[1]), chr(10)) AS text,
+  coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines FROM d LEFT JOIN gone USING (rid)"""

@@ -309,3 +309,17 @@ def near_duplicates(
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicates of the whole ``documents`` table on two-word shingles."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("text_md5")
+
+
+#: All pairs that share one of a set's rarest shingles, as many as a pair at the threshold can't miss, compared in full.
+OP8_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT rid, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+g AS (SELECT rid, len(s) AS n, unnest(s) AS g FROM t WHERE doc_id IS NOT NULL),
+p AS (SELECT rid, n, g, row_number() OVER (PARTITION BY rid ORDER BY f, g) AS r FROM g JOIN (SELECT g, count(*) AS f FROM g GROUP BY g) USING (g)),
+few AS (SELECT * FROM p WHERE r <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.rid AS x, b.rid AS y FROM few a JOIN few b USING (g) WHERE a.rid < b.rid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT x, y, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS n FROM c JOIN t a ON a.rid = x JOIN t b ON b.rid = y),
+l AS (SELECT x, y FROM m WHERE 100 * shared >= 80 * (n - shared) UNION ALL SELECT y, x FROM m WHERE 100 * shared >= 80 * (n - shared)),
+e(x, y) AS (SELECT rid, rid FROM t UNION SELECT e.x, l.y FROM e JOIN l ON l.x = e.y),
+least_id AS (SELECT e.x AS rid, min(t.doc_id) AS component_id FROM e JOIN t ON t.rid = e.y GROUP BY e.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN component_id END AS component_id, coalesce(doc_id = component_id, true) AS kept FROM t JOIN least_id USING (rid)"""

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .counts import op3_tokens
 from .language import op4_language
-from .lines import op7_lines
+from .lines import OP7_SQL, op7_lines
 from .merkle import OP12_SQL, op12_merkle
-from .neardup import op8_minhash
+from .neardup import OP8_SQL, op8_minhash
 from .packing import op5_packing
 from .pii import op11_pii
 from .quality import OP9_SQL, op9_quality
 from .repair import OP13_SQL, op13_repair
 from .substring import op2_windows
-from .suffix import op1_suffix
+from .suffix import OP1_SQL, op1_suffix
 from .topk import OP10_SQL, op10_topk
 
 
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": OP9_SQL, "op10_topk": OP10_SQL, "op12_merkle": OP12_SQL, "op13_repair": OP13_SQL}
+    return {"op1_suffix": OP1_SQL, "op7_lines": OP7_SQL, "op8_minhash": OP8_SQL, "op9_quality": OP9_SQL, "op10_topk": OP10_SQL, "op12_merkle": OP12_SQL, "op13_repair": OP13_SQL}

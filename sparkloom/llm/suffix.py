@@ -11,7 +11,9 @@ at the anchors are sorted.
 The sort is a mergesort whose comparisons find the common extension of two suffixes by binary search
 over prefix polynomial hashes, in as many steps as the length has bits. Neighbours' extensions cut the
 order into blocks that agree to the right of the anchor; polynomial hashes of what lies to the left
-tell which of a block's strings are equal; every repeat found is verified byte by byte.
+tell which of a block's strings are equal; every repeat that they find is verified byte by byte. What
+is told without the sort, equal contexts and the strings of crowded anchors, is told by a digest of 128
+bits, as equal texts are.
 
 Anchors with more than ``sort_limit`` different contexts are not gathered in one task: there each
 string is a row of its own, counted by a hash of its bytes.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, column, given_back, read, save
+from .common import carried, column, given_back, hot_join, read, save
 from .neardup import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -193,19 +195,20 @@ def _anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             for cut in range(0, batch.num_rows, 500):
                 part = batch.slice(cut, 500)
                 cols: list[tuple[np.ndarray, ...]] = []
+                sigs: list[bytes] = []
                 for row, text in enumerate(part.column("text")):
                     data = (text.as_buffer() or b"") if text.is_valid else b""
                     data = memoryview(data).tobytes()
                     if len(data) < length:
                         continue
                     key, at, lo, hi = runs(data, length, gram)
-                    sig = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64).view(np.int64)
-                    cols.append((np.full(len(at), row), key, sig, at, lo, hi))
+                    sigs += [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
+                    cols.append((np.full(len(at), row), key, at, lo, hi))
                 if cols:
-                    row, *rest = (np.concatenate(x) for x in zip(*cols, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(row)), *map(pa.array, rest)], names)
+                    row, key, *rest = (np.concatenate(x) for x in zip(*cols, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(row)), pa.array(key), pa.array(sigs, pa.binary()), *map(pa.array, rest)], names)
 
-    return keyed.mapInArrow(run, "rk binary, anchor long, sig long, at long, lo long, hi long")
+    return keyed.mapInArrow(run, "rk binary, anchor long, sig binary, at long, lo long, hi long")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -275,11 +278,11 @@ def repeated_spans(keyed: DataFrame, length: int = 400, gram: int = 128, sort_li
     ``keyed`` has ``rk``, a key that equal texts share, and ``text``.
     """
     every = save(_anchors(keyed, length, gram), "suffix-anchors")
-    keys = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("sig") != F.max("sig")).alias("mixed")).where("n > 1").drop("n")
-    some = save(every.join(keys, "anchor"), "suffix-shared")
+    keys = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("sig") != F.max("sig")).alias("mixed")).where("n > 1")
+    some = save(hot_join(every, save(keys, "suffix-keys"), ["anchor"]).drop("n"), "suffix-shared")
     counted = some.groupBy("anchor", "sig", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "lo", "hi")).alias("x"))
     counted = save(counted.select("anchor", "sig", "mixed", "n", "x.*"), "suffix-contexts")
-    whole = some.join(counted.where("n > 1").select("anchor", "sig"), ["anchor", "sig"]).select("rk", F.col("lo").alias("begin"), (F.col("hi") + length).alias("stop"))
+    whole = hot_join(some, counted.where("n > 1").select("anchor", "sig", "n"), ["anchor", "sig"]).select("rk", F.col("lo").alias("begin"), (F.col("hi") + length).alias("stop"))
 
     owners = some.select("rk").distinct()
     owners = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
@@ -345,3 +348,26 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
 def op1_suffix(spark, sf_dir: str) -> DataFrame:
     """400-byte repeats removed from the whole ``documents`` table."""
     return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _sql(length: int = 400) -> str:
+    """Hashes of all strings of ``length`` bytes, by doubling, and the bytes that repeated ones cover."""
+    place = "PARTITION BY rid ORDER BY i"
+    out = f"""d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+b AS (SELECT rid, unnest(range(len(x))) AS i, unnest(x) AS c, len(x) AS n FROM d), h1 AS (SELECT *, hash(c) AS k FROM b)"""
+    size = 1
+    while 2 * size <= length:
+        out += f", h{2 * size} AS (SELECT rid, i, c, n, hash(k, lead(k, {size}) OVER ({place})) AS k FROM h{size})"
+        size *= 2
+    if size < length:
+        out += f", h{length} AS (SELECT rid, i, c, n, hash(k, lead(k, {length - size}) OVER ({place})) AS k FROM h{size})"
+    return f"""WITH {out},
+many AS (SELECT k FROM h{length} WHERE i + {length} <= n GROUP BY k HAVING count(*) > 1),
+r AS (SELECT rid, i, c, (i + {length} <= n AND k IN (SELECT k FROM many))::INT AS twice FROM h{length}),
+v AS (SELECT rid, i, c, max(twice) OVER ({place} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER ({place}), 0) = 0 AS opens FROM v),
+a AS (SELECT rid, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(c, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM s GROUP BY rid)
+SELECT doc_id, len(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (rid)"""
+
+
+OP1_SQL = _sql()

@@ -113,7 +113,7 @@ def test_run(spark, sf, stages):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = queries.queries()[name](spark, sf)
     columns = sorted(got.columns)
@@ -128,6 +128,9 @@ def test_contract_columns(spark, sf):
         "op1_suffix": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string", "op3_tokens": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
         "op4_language": "doc_id:bigint held_out:boolean lang_pred:string score:double", "op6_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
         "op8_minhash": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean", "op10_topk": "query_id:bigint rank:int vec_id:bigint score:bigint",
+        "op11_pii": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
+        "op12_merkle": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
+        "op13_repair": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
     }
     for name, columns in want.items():
         assert " ".join(f"{c}:{t}" for c, t in queries.queries()[name](spark, sf).dtypes) == columns
