@@ -125,6 +125,14 @@ def _fault(text: str, first: bool) -> int:
     return 1 if not shown else 2 if not first else 3 if shown[-1] not in ".!?" else 0
 
 
+#: Results that are sent together.
+SENT = 2_000
+
+
+def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 SUMMARY = (
     "g string, block long, blocks long, blank long, duplicate long, truncated long, illegal long, turns long, first_turn long, last_turn long, first_role string, last_role string, "
     "entered array<int>, left array<int>, costs array<long>, audits array<string>"
@@ -140,18 +148,20 @@ def _summaries(blocks: DataFrame, block: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                rows, firsts = x["rows"], set(x["firsts"])
-                faults = [_fault(r["text"], r["at"] in firsts) for r in rows]
-                initials = [r["role"][:1] for r in rows]
-                turns = [r["turn"] for r in rows if r["turn"] is not None]
+            made: list[list] = []
+            for i, x in enumerate(batch.select(["g", "block", "total", "firsts"]).to_pylist()):
+                rows, firsts = batch.column("rows")[i].values, set(x["firsts"])
+                faults = [_fault(text, at in firsts) for text, at in zip(rows.field("text").to_pylist(), rows.field("at").to_pylist(), strict=True)]
+                initials = [role[:1] for role in rows.field("role").to_pylist()]
+                turns = [t for t in rows.field("turn").to_pylist() if t is not None]
                 layers = block_layers(initials, faults, x["block"] == 0)
                 ways = [(i, j, *best) for i, layer in enumerate(layers) for j, best in enumerate(layer) if best]
-                out = [
+                made.append([
                     x["g"], x["block"], -(-x["total"] // block), faults.count(1), faults.count(2), faults.count(3), _pairs(initials), len(set(turns)), turns[0] if turns else None,
                     turns[-1] if turns else None, initials[0], initials[-1], *map(list, zip(*ways, strict=True)),
-                ]
-                yield pa.RecordBatch.from_pylist([dict(zip(_SUMMARY.names, out, strict=True))], schema=_SUMMARY)
+                ])
+            if made:
+                yield _batch(made, _SUMMARY)
 
     return blocks.drop("conv_id").mapInArrow(run, SUMMARY)
 
@@ -199,9 +209,14 @@ def folded(blocks: Iterable[dict]) -> dict:
 
 def _folded(summaries: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x for batch in batches for x in batch.to_pylist())
+        rows, made = (x for batch in batches for x in batch.to_pylist()), []
         for g, own in groupby(rows, key=lambda x: x["g"]):
-            yield pa.RecordBatch.from_pylist([{"g": g, **folded(own)}], schema=_REPORT)
+            made.append([g, *folded(own).values()])
+            if len(made) >= SENT:
+                yield _batch(made, _REPORT)
+                made = []
+        if made:
+            yield _batch(made, _REPORT)
 
     n = int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return summaries.repartition(n, "g").sortWithinPartitions("g", "block").mapInArrow(run, REPORT)
@@ -225,14 +240,22 @@ def repair(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("rows")
+            own, held = batch.column("rows"), []
+
+            def out() -> pa.RecordBatch:
+                of, no, place, *columns = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(of, pa.int32())), pa.array(no, pa.int64()), pa.array(place, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names)
+
             for i, (no, state, audit) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "state", "audit")), strict=True)):
                 x = own[i].values
-                made = list(rebuilt(list(zip(x.field("role").to_pylist(), x.field("text").to_pylist(), strict=True)), state, audit))
-                n = len(made)
-                columns = [pa.array(c, pa.string()) for c in (zip(*made, strict=True) if made else ((), (), ()))]
-                yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array([i] * n, pa.int32())), pa.array([no] * n, pa.int64()), pa.array(range(n), pa.int64()), *columns], ["conv_id", "block", "place", "edit", "role", "text"])
-
+                held += [(i, no, k, *made) for k, made in enumerate(rebuilt(list(zip(x.field("role").to_pylist(), x.field("text").to_pylist(), strict=True)), state, audit))]
+                if len(held) >= SENT:
+                    yield out()
+                    held.clear()
+            if held:
+                yield out()
+
+    names = ["conv_id", "block", "place", "edit", "role", "text"]
     more = [T.StructField(c, t) for c, t in (("block", T.LongType()), ("place", T.LongType()), ("edit", T.StringType()), ("role", T.StringType()), ("text", T.StringType()))]
     repaired = blocks.drop("total", "firsts").join(parts, ["g", "block"]).mapInArrow(run, T.StructType([blocks.schema["conv_id"], *more]))
     named = report.drop("states", "audits").join(blocks.where("block = 0").select("g", "conv_id"), "g")
@@ -243,12 +266,18 @@ def digests(repaired: DataFrame) -> DataFrame:
     """``conv_id, repaired_sha256``: of ``role:text`` of a conversation's repaired turns, joined by line feeds; they stream by."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "line")), strict=True))
+        rows, made = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "line")), strict=True)), []
+        plain = pa.schema([("conv_id", kind), ("repaired_sha256", pa.string())])
         for conv_id, own in groupby(rows, key=lambda x: x[0]):
             sha = hashlib.sha256()
             for i, (_, line) in enumerate(own):
                 sha.update((b"\n" if i else b"") + line.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([conv_id], kind), pa.array([sha.hexdigest()])], ["conv_id", "repaired_sha256"])
+            made.append([conv_id, sha.hexdigest()])
+            if len(made) >= SENT:
+                yield _batch(made, plain)
+                made = []
+        if made:
+            yield _batch(made, plain)
 
     schema = T.StructType([repaired.schema["conv_id"], T.StructField("repaired_sha256", T.StringType())])
     kind = to_arrow_type(schema["conv_id"].dataType)
