@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import carried, column, given_back, read, save
+from sparkloom.llm.common import carried, column, given_back, read, scratch_path
 from sparkloom.llm.language import held_out, predict, train
 from sparkloom.llm.lines import dedup_lines
 from sparkloom.llm.neardup import near_duplicates
 from sparkloom.llm.packing import pack_texts
 from sparkloom.llm.suffix import remove_repeats
+from sparkloom.operators.scratch import scope
 
 #: Documents whose predicted language has a smaller share of the posterior are rejected.
 MIN_SCORE = 0.5
@@ -77,8 +78,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; every stage but the last is written to the shared folder and read again."""
+    """All stages on ``documents``; every stage but the last is written to the shared folder and read again.
+
+    What a stage has written for itself is deleted when its result is.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
