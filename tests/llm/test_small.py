@@ -299,6 +299,21 @@ def test_passages_of_a_value_with_chance_users(spark):
     assert met == {(8, 9), (9, 8)}
 
 
+def test_a_family_of_passages_is_one_component(spark):
+    """Edited copies of two passages: each family is linked, whichever of its pairs are reported."""
+    made = []
+    for family in range(2):
+        base = prose(900 + family, 70).split()
+        for k in range(6):
+            words = list(base)
+            words[10 * k + 5] = f"edit{k}"
+            made.append((10 * family + k, prose(910 + 10 * family + k, 30) + " " + " ".join(words) + " " + prose(950 + 10 * family + k, 30)))
+    made += [(50, prose(990, 200)), (60, made[0][1]), (61, made[0][1])]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in substring.near_passages(df).collect()}
+    assert got == {(k, 0) for k in (*range(6), 60, 61)} | {(10 + k, 10) for k in range(6)}
+
+
 @pytest.mark.parametrize("words", [50, 60, 80, 100])
 def test_edited_passages_are_found(words):
     """A passage with a word changed anywhere, in foreign surroundings, that meets the threshold."""
