@@ -19,13 +19,8 @@ def _fragment(kind: str | Column, name: Column, content: Column, **meta: Column)
     return F.struct(kind.alias("type"), name.alias("name"), content.alias("content"), info.alias("metadata"))
 
 
-def fragments(parsed: DataFrame) -> DataFrame:
-    """``id, type, name, content, metadata`` of each parsed file; files with errors or ignored have none.
-
-    A component's file gives the whole file and, in this order, its template, script and style where
-    they aren't empty; other files give one fragment by their extension. An id is a digest of path,
-    type and content, so the same fragment has the same id in every run.
-    """
+def _made() -> tuple[Column, Column]:
+    """The fragments of a parsed file as an array, and whether it has any: files with errors or ignored have none."""
     ext, name, raw = F.lower("extension"), F.coalesce("component_name", F.regexp_replace("file_name", r"\.vue", "")), F.col("raw_content")
     lists = {"props": F.coalesce("props", F.array().cast("array<string>")), "components": F.coalesce("components", F.array().cast("array<string>"))}
     parts = [_fragment("component", name, raw, component_name=name, **lists)]
@@ -36,15 +31,25 @@ def fragments(parsed: DataFrame) -> DataFrame:
     kind = F.when(ext.isin(".js", ".ts"), F.lit("javascript")).when(ext == ".css", F.lit("css")).when(ext == ".html", F.lit("html")).otherwise(F.lit("generic"))
     other = _fragment(kind, F.col("file_name"), raw, extension=F.col("extension"), file_type=F.when(kind == "html", F.lit("html")))
     made = F.when(ext == ".vue", F.filter(F.array(*parts), lambda x: x.isNotNull())).otherwise(F.array(other))
-    good = parsed.where(F.col("error").isNull() & ~F.coalesce("ignored", F.lit(False)) & raw.isNotNull())
-    out = good.select("path", F.posexplode(made).alias("part", "f"))
+    return made, F.col("error").isNull() & ~F.coalesce("ignored", F.lit(False)) & raw.isNotNull()
+
+
+def fragments(parsed: DataFrame) -> DataFrame:
+    """``id, type, name, content, metadata`` of each parsed file; files with errors or ignored have none.
+
+    A component's file gives the whole file and, in this order, its template, script and style where
+    they aren't empty; other files give one fragment by their extension. An id is a digest of path,
+    type and content, so the same fragment has the same id in every run.
+    """
+    made, good = _made()
+    out = parsed.where(good).select("path", F.posexplode(made).alias("part", "f"))
     return out.select(F.sha2(F.concat_ws("\x1f", "path", "f.type", "f.content"), 256).alias("id"), "f.type", "f.name", "f.content", "f.metadata", "part")
 
 
 def fragments_per_file(parsed: DataFrame) -> DataFrame:
-    """``path, n_fragments``: 0 for files without any."""
-    counts = fragments(parsed).groupBy(F.col("metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
-    return parsed.select("path").join(counts, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n_fragments"))
+    """``path, n_fragments`` of each file: 0 for those without any."""
+    made, good = _made()
+    return parsed.select("path", F.when(good, F.size(made)).otherwise(F.lit(0)).cast("long").alias("n_fragments"))
 
 
 def type_counts(frags: DataFrame) -> DataFrame:
