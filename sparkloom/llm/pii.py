@@ -43,6 +43,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD, _DIGITS, _MARK = 1, 1 + CASES * LENGTHS + 2, 1 + CASES * LENGTHS + 2 + NUMBERS
 #: Shapes, with and without a blank before; 0 is beyond the line.
 SHAPES = 1 + 2 * (CASES * LENGTHS + 2 + NUMBERS + len(MARKS) + 1)
+#: Characters that are scanned together.
 SCAN_CHARS = 2_000_000
 BLANK, LOWER, UPPER, DIGIT, OTHER, FEED = range(6)
 
@@ -425,24 +426,57 @@ def train(rows: DataFrame, *, max_rows: int = 2_000, epochs: int = 60) -> Field:
 # ---- texts
 
 
-def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
-    """(kind, start, end, whether a fixed pattern found it) of each text, by kind and start."""
-    out = [[(*s, True) for s in base_spans(t)] for t in texts]
-    whole = "\n".join(texts)
-    begins, ends, shape, line = tokens(whole)
+def pieces(text: str, chars: int) -> Iterator[tuple[int, str]]:
+    """A text cut after line feeds, where chains end, into pieces of about ``chars`` characters or a line, with their places."""
+    at = 0
+    while len(text) - at > chars:
+        cut = text.rfind("\n", at, at + chars)
+        cut = cut if cut >= at else text.find("\n", at + chars)
+        if cut < 0:
+            break
+        yield at, text[at:cut]
+        at = cut + 1
+    yield at, text[at:]
+
+
+def field_spans(parts: list[str], field: Field) -> Iterator[tuple[int, int, int, int]]:
+    """(part, kind, start, end) of what the field finds in texts, which are scanned together."""
+    begins, ends, shape, line = tokens("\n".join(parts))
     if not len(begins):
-        return out
+        return
     label = field.decode(shape, line)
-    edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in parts])])
     heads = np.nonzero(label % 2 == 1)[0]
     owner = np.searchsorted(edge, begins[heads], "right") - 1
     for head, i in zip(heads.tolist(), owner.tolist(), strict=True):
-        last, kind = head, int(label[head] - 1) // 2
+        last = head
         while last + 1 < len(label) and label[last + 1] == label[head] + 1:
             last += 1
-        a, b = int(begins[head] - edge[i]), int(ends[last] - edge[i])
-        if not any(x < b and a < y for _, x, y, _ in out[i]) and passes(kind, texts[i][a:b]):
-            out[i].append((kind, a, b, False))
+        yield i, int(label[head] - 1) // 2, int(begins[head] - edge[i]), int(ends[last] - edge[i])
+
+
+def found_spans(texts: list[str], field: Field, chars: int = SCAN_CHARS) -> list[list[tuple[int, int, int, bool]]]:
+    """(kind, start, end, whether a fixed pattern found it) of each text, by kind and start."""
+    out = [[(*s, True) for s in base_spans(t)] for t in texts]
+    held: list[tuple[int, int, str]] = []
+
+    def scan() -> None:
+        for part, kind, a, b in field_spans([t for _, _, t in held], field):
+            i, at, _ = held[part]
+            a, b = a + at, b + at
+            if not any(x < b and a < y for _, x, y, _ in out[i]) and passes(kind, texts[i][a:b]):
+                out[i].append((kind, a, b, False))
+        held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for at, part in pieces(text, chars):
+            if held and size + len(part) > chars:
+                scan()
+                size = 0
+            held.append((i, at, part))
+            size += len(part)
+    scan()
     return [sorted(spans) for spans in out]
 
 
@@ -463,18 +497,11 @@ def find(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str
         forget()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for batch in batches:
-            every = batch.column("text").to_pylist()
-            at = 0
-            while at < len(every):
-                own, size = [], 0
-                while at + len(own) < len(every) and (not own or size < SCAN_CHARS):
-                    own.append(every[at + len(own)])
-                    size += len(own[-1] or "")
-                told = found_spans([t or "" for t in own], field)
-                spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in x] for x in told]
-                masked = [t if not x else mask(t, x) for t, x in zip(own, told, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(own)), pa.array(spans, kind), pa.array(masked, pa.string())], ["doc_id", "spans", "masked"])
-                at += len(own)
+            own = batch.column("text").to_pylist()
+            told = found_spans([t or "" for t in own], field)
+            spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in x] for x in told]
+            masked = [t if not x else mask(t, x) for t, x in zip(own, told, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), pa.array(masked, pa.string())], ["doc_id", "spans", "masked"])
 
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id long, spans {SPANS}, masked string")

@@ -135,6 +135,17 @@ def test_disguised_data_is_found(field):
         assert pii.found_spans([text], field) == [[]], text
 
 
+def test_pieces_change_nothing(field):
+    r = random.Random(8)
+    texts = ["\n".join(t for t, _ in pii.labelled(r.randint(0, 12), seed=200 + k)) for k in range(12)] + ["", "\n\n", "x" * 500]
+    whole = pii.found_spans(texts, field)
+    for chars in (1, 40, 300, 5000):
+        assert pii.found_spans(texts, field, chars) == whole
+        for t in texts:
+            assert "\n".join(p for _, p in pii.pieces(t, chars)) == t and all(t[a : a + len(p)] == p for a, p in pii.pieces(t, chars))
+    assert sum(not base for x in whole for *_, base in x) > 20
+
+
 def test_find(spark):
     rows = [(1, "mail a@b.org, +1 (826) 555-4081 190.137.223.204"), (2, None), (3, ""), (4, " \n "), (5, "x " * 50_000 + "a@b.org"), (5, "x " * 50_000 + "a@b.org"), (None, "a@b.org"), (6, "card 4111 1111 1111 1111, 1.2.3.4")]
     df = spark.createDataFrame([(i, t, "s", [1]) for i, t in rows], "doc_id long, text string, spans string, base array<int>").repartition(2)
