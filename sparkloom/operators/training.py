@@ -55,7 +55,8 @@ def stratified_split(pairs: DataFrame, key_cols: list[str], share: float = 0.1,
 
     The rows are not sorted. A count by the MD5's first digits tells the bucket in which a label's
     share ends; rows of other buckets are on one side of it, and only those of that bucket, a
-    millionth of all unless keys repeat, are numbered. ``pairs`` is evaluated three times.
+    millionth of all unless keys repeat, are numbered. Where the shares end, a row a label, is broadcast:
+    a join by label would send most rows to one task. ``pairs`` is evaluated three times.
     """
     own = f"_{uuid.uuid4().hex}"  # no column of the input has this name
     key, head, cut = f"{own}key", f"{own}head", f"{own}cut"
@@ -65,12 +66,12 @@ def stratified_split(pairs: DataFrame, key_cols: list[str], share: float = 0.1,
     before = F.sum("n").over(of.orderBy("head")) - F.col("n")
     ends = counts.withColumns({"before": before, "wanted": F.ceil(F.sum("n").over(of) * F.lit(share))}).where("before < wanted AND before + n >= wanted")
     ends = ends.select(F.col("label").alias(f"{own}label"), F.struct("head", "before", "wanted").alias(cut))  # a row a label
-    met = rows.join(ends, F.col(label).eqNullSafe(F.col(f"{own}label")), "left").drop(f"{own}label")
+    met = rows.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col(f"{own}label")), "left").drop(f"{own}label")
     inside = F.coalesce(F.col(head) == F.col(f"{cut}.head"), F.lit(False))
     sure = met.where(~inside).withColumn("is_validation", F.coalesce(F.col(head) < F.col(f"{cut}.head"), F.lit(False)))
     edge = numbered(met.where(inside), [F.col(label), F.col(key), *map(F.col, key_cols)], f"{own}at")
     first = edge.groupBy(F.col(label).alias(f"{own}label")).agg(F.min(f"{own}at").alias(f"{own}first"))
-    edge = edge.join(first, F.col(label).eqNullSafe(F.col(f"{own}label"))).withColumn("is_validation", F.col(f"{own}at") - F.col(f"{own}first") + F.col(f"{cut}.before") < F.col(f"{cut}.wanted"))
+    edge = edge.join(F.broadcast(first), F.col(label).eqNullSafe(F.col(f"{own}label"))).withColumn("is_validation", F.col(f"{own}at") - F.col(f"{own}first") + F.col(f"{cut}.before") < F.col(f"{cut}.wanted"))
     names = [*pairs.columns, "is_validation"]
     return sure.select(*names).unionByName(edge.select(*names))
 

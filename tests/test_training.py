@@ -40,6 +40,17 @@ def test_split_sorts_only_the_edge(spark):
     assert training.stratified_split(df, ["query"]).where("is_validation").count() == 500
 
 
+def test_split_sends_no_label_to_one_task(spark):
+    """Rows meet the end of their label's share where they are; a join by label gave one task all rows of a label."""
+    df = spark.range(5000).select(F.col("id").cast("string").alias("query"), (F.col("id") % 2).cast("int").alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes that the optimizer guesses don't help at size
+    try:
+        plan = training.stratified_split(df, ["query"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 class Length(encode.BatchScorer):
     def __init__(self):
         super().__init__("length", lambda: lambda query, passages: [float(len(p)) + len(query) for p in passages])
