@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import keyword_score, preview
 from ..functions.vector import METRICS
 from ..schema import STORE, TYPES
-from .batches import Batches, Entry
+from .batches import Batches, Entry, empty
 from .filters import apply
-from .nearest import matrix
+from .nearest import CHUNK, matrix
 from .scratch import scope, written
 from .search import top, unpacked
 from .words import POSTINGS, candidates, postings
@@ -27,7 +27,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p) or not any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p)):
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -90,20 +90,26 @@ def store_stats(store: DataFrame, dim: int, metric: str, scorer: str | None = No
     )
 
 
+def packed_part(v: pa.Array, dim: int, unit: bool) -> pa.Array:
+    """A batch's vectors as ``pack`` gives them: one buffer for all, no object a row."""
+    m, rows = matrix(v, dim)
+    if unit:
+        size = np.sqrt(np.einsum("ij,ij->i", m, m))
+        m, rows = m[size > 0] / size[size > 0, None], rows[size > 0]
+    has = np.zeros(len(v), bool)
+    has[rows] = True
+    ends = np.concatenate([[0], np.cumsum(has * (4 * dim))]).astype("<i4")
+    bits = pa.py_buffer(np.packbits(has, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(v), [bits, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(m, "<f4"))])
+
+
 def pack(vector: Column, dim: int, unit: bool = False) -> Column:
     """A vector of ``dim`` numbers as float32 components; null for another size, and for a zero vector if it has to have length 1."""
 
     @F.arrow_udf("binary")
     def run(v: pa.Array) -> pa.Array:
-        m, rows = matrix(v, dim)
-        if unit:
-            size = np.sqrt(np.einsum("ij,ij->i", m, m))
-            m, rows = m[size > 0] / size[size > 0, None], rows[size > 0]
-        out = np.full(len(v), None, object)
-        packed = m.astype("<f4")
-        for i, row in zip(rows.tolist(), packed, strict=True):
-            out[i] = row.tobytes()
-        return pa.array(out, pa.binary())
+        parts = [packed_part(v.slice(at, CHUNK), dim, unit) for at in range(0, len(v), CHUNK)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return run(vector.cast("array<double>"))
 
@@ -144,13 +150,14 @@ class FragmentStore:
         wrong = embeddings.where(F.size("embedding") != self.dim).limit(1).count()
         if wrong:
             raise ValueError(f"vectors have to have {self.dim} components")
-        vectors = embeddings.select("id", pack(F.col("embedding"), self.dim, self.metric == "cosine").alias("embedding"))
-        if meanings is not None:
-            size = F.size("meaning")
-            width = meanings.agg(F.max(size)).first()[0] or 0
-            vectors = vectors.join(meanings.select("id", pack(F.col("meaning"), width).alias("meaning")), "id", "left")
-        else:
-            vectors = vectors.withColumn("meaning", F.lit(None).cast("binary"))
+
+        def packed() -> DataFrame:
+            """Written before anything is joined with it: filters and the sampling of ranges would each pack it again, in Python workers of their own."""
+            vectors = written(embeddings.select("id", pack(F.col("embedding"), self.dim, self.metric == "cosine").alias("embedding")), "vectors")
+            if meanings is None:
+                return vectors.withColumn("meaning", F.lit(None).cast("binary"))
+            width = meanings.agg(F.max(F.size("meaning"))).first()[0] or 0
+            return vectors.join(written(meanings.select("id", pack(F.col("meaning"), width).alias("meaning")), "meanings"), "id", "left")
 
         def make(seen: list[Entry]) -> tuple[str, int, dict[str, Any]] | None:
             known = self.batches.read("rows", STORE, [] if replaces else seen)
@@ -169,6 +176,7 @@ class FragmentStore:
             return batch, counts["total"], about | {"counts": counts}
 
         with scope(self.spark):
+            vectors = packed()
             return self.batches.append(make, replaces)
 
     def keyword_search(self, query: str, k: int = 20, filters: dict[str, Any] | None = None) -> DataFrame:

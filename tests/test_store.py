@@ -1,9 +1,11 @@
 """The store's mechanisms: committed batches, postings, packed vectors, kept vectors and scores, look-ups."""
 
+import math
 import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +307,44 @@ def test_look_ups_skip_row_groups(spark, tmp_path):
     for df in (search.by_id(rows, part[12_345][0]), rows.where(F.col("file_path") == part[777][3])):
         n = scanned_rows(df)
         assert df.count() == 1 and n < 10_000, n
+
+
+def test_a_vector_is_packed_once(spark, tmp_path, monkeypatch):
+    """Neither filters nor the sampling of ranges pack again, each in Python workers of their own."""
+    packed = spark.sparkContext.accumulator(0)
+    real = store.pack
+
+    def counting(vector, *more):
+        @F.arrow_udf("array<double>")
+        def seen(v: pa.Array) -> pa.Array:
+            packed.add(len(v))
+            return v
+
+        return real(seen(vector.cast("array<double>")), *more)
+
+    monkeypatch.setattr(store, "pack", counting)
+    ids = [f"i{k}" for k in range(50)]
+    s = store.FragmentStore(spark, str(tmp_path / "s"), 4, "ip")
+    meanings = vectors_of(spark, ids, 3).withColumnRenamed("embedding", "meaning")
+    s.add(frags_of(spark, [(i, "css", f"text {i}", f"p/{i}.css") for i in ids]), vectors_of(spark, ids), meanings)
+    assert s.read().where("embedding IS NOT NULL AND meaning IS NOT NULL").count() == 50
+    assert packed.value == 2 * 50
+
+
+def test_an_empty_store_starts_no_python(spark, tmp_path):
+    """Rows of a store without batches are no Python rows; joins with them go."""
+    known = store.FragmentStore(spark, str(tmp_path / "s"), 4).read()
+    rows = spark.range(9).select(F.col("id").cast("string"))
+    plan = rows.join(known.select("id"), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Join" not in plan
+    assert known.schema == spark.createDataFrame([], known.schema).schema and known.count() == 0
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_packed_rows_stay_in_place(spark, unit):
+    """Null, short, not finite and zero vectors among others, in slices with an offset."""
+    rows = [[1.0, 2.0], None, [3.0], [float("nan"), 1.0], [0.0, 0.0], [0.5, -4.0], [1.0, None], [7.0, 24.0]]
+    got = [x for at in range(0, 8, 3) for x in store.packed_part(pa.array(rows + rows)[at : at + 3][: 8 - at], 2, unit).to_pylist()]
+    size = lambda v: math.hypot(*v) if unit else 1.0
+    fine = [v is not None and len(v) == 2 and None not in v and all(map(math.isfinite, v)) and not (unit and not any(v)) for v in rows]
+    assert got == [np.array(v, float).__truediv__(size(v)).astype("<f4").tobytes() if ok else None for v, ok in zip(rows, fine, strict=True)]
