@@ -4,15 +4,19 @@ Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is writt
 again as the next stage's ``docs``. All but the last give the columns of ``documents``; where a stage
 changes a text, ``n_chars`` (if it is there) follows. Null ids, null or empty texts, repeated rows,
 empty tables and other columns are treated as each operator says; what a stage does with its
-operator's verdict is said below.
+operator's verdict is said below. So a stage begins by giving back the disk of the stages before it:
+their own tables, unless its ``docs`` read them, and their shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import carried, column, given_back, read, scratch_path
+from sparkloom.llm.common import carried, column, drop_unread, given_back, read, scratch_path, tables_made
 from sparkloom.llm.language import held_out, predict, train
 from sparkloom.llm.lines import dedup_lines
 from sparkloom.llm.neardup import near_duplicates
@@ -28,12 +32,31 @@ MIN_CHARS = 20
 PASSAGE_BYTES = 200
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """``f`` after the tables of earlier stages are gone; a result that is still to be written must not be kept beyond the next stage's call."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _made[:] = drop_unread(spark, docs, _made)
+        with tables_made() as own:
+            out = f(spark, docs, sf_dir)
+        _made.extend(own)
+        return out
+
+    return run
+
+
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     """``docs`` in the columns ``names`` with another text."""
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in names else {})
     return docs.select(*((new[c].alias(c) if c in new else column(c)) for c in names))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a letter (``und``), null texts among them, and texts of doubtful language go."""
     model = train(docs.where(~held_out()))
@@ -42,6 +65,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fine.select(*map(column, docs.columns))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go; so does a document that has lost lines and has none of full length left."""
     out = dedup_lines(docs, min_chars=MIN_CHARS)
@@ -49,6 +73,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(out.where((F.col("n_removed") == 0) | long_ones), docs.columns, F.col("text"))
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each component the document with the least id stays, once if its row is repeated."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5")).distinct()
@@ -57,6 +82,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*given_back("own", docs.columns).values())
 
 
+@_stage
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: repeated passages of ``PASSAGE_BYTES`` go; so does a document of which only white space is left."""
     out = remove_repeats(docs, length=PASSAGE_BYTES, gram=64)
@@ -64,6 +90,7 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(left, docs.columns, F.col("kept_text"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: all documents in sequences of at most 2048 tokens."""
     import public_tokenizers

@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest table, each against a plain version; registered SQL against DuckDB."""
 
+import os
 import re
 from collections import Counter
 
@@ -134,3 +135,24 @@ def test_contract_columns(spark, sf):
     }
     for name, columns in want.items():
         assert " ".join(f"{c}:{t}" for c, t in queries.queries()[name](spark, sf).dtypes) == columns
+
+
+def test_a_stage_drops_the_tables_of_those_before(spark, sf):
+    """Also if nobody opens a scope; what the next stage's documents read stays."""
+    from sparkloom.llm.common import drop_unread, scratch_path
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(20)
+    written = []
+
+    @corpus_pipeline._stage
+    def stage(spark, docs, sf_dir):
+        written.append(scratch_path(spark, "test-own"))
+        docs.write.parquet(written[-1])
+        return spark.read.parquet(written[-1])
+
+    first = stage(spark, docs, sf)
+    second = stage(spark, first, sf)  # reads the first stage's table, which stays
+    assert os.path.exists(written[0]) and second.count() == 20
+    stage(spark, docs, sf)
+    assert not os.path.exists(written[0]) and not os.path.exists(written[1]) and os.path.exists(written[2])
+    assert drop_unread(spark, docs, written[2:]) == [] and not os.path.exists(written[2])
