@@ -354,6 +354,35 @@ def test_passages_against_brute_force():
             assert bool(found) == brute(x, i, y, j, least)
 
 
+def test_windows_with_nothing_similar_around_them_are_not_compared(monkeypatch):
+    """Every other item in common, and a window at each of them; a copy is found all the same."""
+    tried = []
+    whole = substring.longest
+    monkeypatch.setattr(substring, "longest", lambda *a: tried.append(1) or whole(*a))
+    x = np.arange(400).astype(np.uint64)
+    y = np.where(np.arange(400) % 2, x + np.uint64(1000), x)
+    boxes = [(0, i, 0, 399, i, 0, 399) for i in range(0, 400, 2)]
+    assert list(substring.passages(x, y, boxes, 46, 1, 80)) == [] and not tried
+    y[100:200] = x[100:200]
+    found = list(substring.passages(x, y, boxes, 46, 1, 80))
+    assert all(100 * n >= 80 * size for *_, n, size in found) and any(p == u <= 100 and q == v >= 199 for p, q, u, v, _, _ in found) and len(tried) < 100
+
+
+def test_long_texts_of_few_shingles_are_compared_in_time():
+    """Begins and ends that give the same set are tried once; before, each of a million was tried against thousands."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.integers(0, 40, 1500), r.integers(100, 140, 30), r.integers(0, 60, 1500)]).astype(np.uint64)
+    y = np.concatenate([r.integers(200, 208, 60), r.integers(0, 44, 3000), r.integers(300, 318, 60)]).astype(np.uint64)
+    tried = []
+    whole = substring.fresh
+    substring.fresh = lambda *a: (z for z in whole(*a) if tried.append(z[1].size) is None)
+    try:
+        found = list(substring.passages(x, y, [(0, 700, 0, len(x) - 1, 1500, 0, len(y) - 1)], 46, 1, 80))
+    finally:
+        substring.fresh = whole
+    assert found and 100 * found[0][4] >= 80 * found[0][5] and sum(tried) < 50_000_000
+
+
 def test_compact_windows_are_all_and_only_those():
     r = np.random.default_rng(3)
     for n, least in ((60, 7), (30, 30), (29, 30), (200, 11)):
