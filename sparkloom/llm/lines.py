@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import carried, column, given_back, read, save
-from .components import components
+from .components import components, extended
 
 SHINGLE = 8
 #: Of so many hashes from the start of an eighth, with repeated shingles, the three lowest are taken.
@@ -176,13 +176,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             pairs = pairs.join(sketches.select(F.col("h").alias(f"h{end}"), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), f"h{end}")
         return pairs.where(may_be_similar("a", "b", percent)).select("ha", "hb")
 
-    links = _similar(able(main), some, percent)
+    roots = save(components(_similar(able(main), some, percent), "a", "b"), "line-roots")
     keyed = save(shared.select("key", "slot", "h").join(some.select("h", "digest"), "h"), "line-keyed")
     for seed in ORDERS:
-        roots = save(components(links, "a", "b"), "line-roots")
         at = save(_mixed(keyed, roots), "line-mixed")
-        links = links.unionByName(_similar(able(_neighbours(at, seed)), some, percent))
-    roots = save(components(links, "a", "b"), "line-roots")
+        roots = save(extended(roots, _similar(able(_neighbours(at, seed)), some, percent), "a", "b"), "line-roots")
 
     # what is left: lines outside their key's main component against those of the others
     at = _mixed(keyed, roots).join(sketches.withColumnRenamed("n", "size"), "h").join(own.drop("common"), "h").drop("n").withColumnRenamed("size", "n")
@@ -192,8 +190,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = F.expr("CASE " + " ".join(f"WHEN k{i}_a = k{i}_b THEN {i}" for i in range(8)) + " END")  # the first key in common
     once = F.expr("root_a <> root_b AND (root_b = main_b OR h_a < h_b)")
     left = one.where("root_a <> main_a").join(two, "key").where(once & (met == F.col("slot_a")) & may_be_similar("a", "b", percent)).select(F.col("h_a").alias("ha"), F.col("h_b").alias("hb"))
-    links = links.unionByName(_similar(left, some, percent))
-    roots = save(components(links, "a", "b"), "line-roots")
+    roots = save(extended(roots, _similar(left, some, percent), "a", "b"), "line-roots")
 
     # the first place of each component, and so what goes
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "_row", "at")

@@ -368,6 +368,22 @@ def test_windows_with_nothing_similar_around_them_are_not_compared(monkeypatch):
     assert all(100 * n >= 80 * size for *_, n, size in found) and any(p == u <= 100 and q == v >= 199 for p, q, u, v, _, _ in found) and len(tried) < 100
 
 
+def test_components_are_extended_from_their_roots(spark):
+    """Two chains and what joins them: the result of all links at once, in fewer steps than these take."""
+    from sparkloom.llm import common
+    from sparkloom.llm.components import components, extended
+
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    chains = [(k, k + 1) for k in range(40) if k != 20]
+    roots = common.save(components(frame(chains), "a", "b"), "test-roots")
+    with common.tables_made() as whole:
+        want = components(frame([*chains, (7, 33), (90, 91)]), "a", "b").collect()
+    with common.tables_made() as more:
+        got = extended(roots, frame([(7, 33), (90, 91)]), "a", "b").collect()
+    assert set(got) == set(want) and len(got) == len(want) == 43 and len(more) < len(whole)
+    assert set(extended(roots, frame([]), "a", "b").collect()) == set(roots.collect())
+
+
 def test_long_texts_of_few_shingles_are_compared_in_time():
     """Begins and ends that give the same set are tried once; before, each of a million was tried against thousands."""
     r = np.random.default_rng(5)
