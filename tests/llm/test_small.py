@@ -399,6 +399,30 @@ def test_long_texts_of_few_shingles_are_compared_in_time():
     assert found and 100 * found[0][4] >= 80 * found[0][5] and sum(tried) < 50_000_000
 
 
+def test_windows_of_repeats_are_left_to_the_first():
+    """What a window that is left out allows is in one that stays, longer and with the same set; ranges meet as many functions."""
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        least = int(r.integers(3, 9))
+        block = r.integers(0, 4, int(r.integers(1, 5)))
+        s = np.concatenate([r.integers(0, 30, int(r.integers(0, 9))), np.tile(block, 6), r.integers(0, 30, int(r.integers(0, 9)))]).astype(np.uint64)
+        key, c, lo, hi = substring.compact_windows(s, 1, least)
+        kept, end = substring.chains(s, substring.returns(s, least), key, c, lo)
+        boxes = [(int(c[k]), int(lo[k]), int(hi[k])) for k in kept]
+        for at, first, last in zip(c.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for p in range(first, at + 1):
+                for q in range(max(at, p + least - 1), last + 1):
+                    own = set(s[p : q + 1].tolist())
+                    assert any(s[b] == s[at] and u <= b <= q <= v and any(set(s[x : q + 1].tolist()) == own for x in range(u, min(b, p) + 1)) for b, u, v in boxes)
+        for p in range(len(s) - least + 1):
+            for value in set(key.tolist()):
+                met = any(p <= int(x) < p + least for x in c[key == value])
+                assert met == any(int(c[k]) < p + least and int(e) >= p for k, e in zip(kept, end, strict=True) if key[k] == value)
+    s = np.concatenate([np.full(3000, 7), np.tile([1, 2, 3], 1000)]).astype(np.uint64)
+    key, c, lo, hi = substring.compact_windows(s, 0, 46)
+    assert len(c) > 3900 and len(substring.chains(s, substring.returns(s, 46), key, c, lo)[0]) < 10
+
+
 def test_compact_windows_are_all_and_only_those():
     r = np.random.default_rng(3)
     for n, least in ((60, 7), (30, 30), (29, 30), (200, 11)):
