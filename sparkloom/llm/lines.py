@@ -136,6 +136,13 @@ def _neighbours(at: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.least("h", "m.h").alias("ha"), F.greatest("h", "m.h").alias("hb")).distinct()
 
 
+def line_places(docs: DataFrame, row: Column, doc: Column, text: Column, min_chars: int) -> DataFrame:
+    """``_row, doc, at, digest`` of each line that takes part; a document's row key is made before its lines are taken apart, not once a line."""
+    parts = docs.where(text.isNotNull()).select(row, doc.cast("long").alias("doc"), F.split(text, "\n").alias("lines"))
+    parted = parts.select("_row", "doc", F.posexplode("lines").alias("at", "line")).where(F.length(F.trim("line")) >= min_chars)
+    return parted.select("_row", "doc", "at", F.unhex(F.md5("line")).alias("digest"))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 20) -> DataFrame:
     """The input with its text reduced to the lines that stay, and ``n_lines, n_removed, removed_lines``.
 
@@ -151,8 +158,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     doc_id, text = column(id_col), column(text_col)
     row = F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), text)).alias("_row")
 
-    parted = docs.where(text.isNotNull()).select(row, doc_id.cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.length(F.trim("line")) >= min_chars)
-    lines = save(parted.select("_row", "doc", "at", F.unhex(F.md5("line")).alias("digest")), "line-places")
+    lines = save(line_places(docs, row, doc_id, text, min_chars), "line-places")
     all_lines = docs.where(text.isNotNull()).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length(F.trim("line")) >= min_chars).withColumn("h", F.xxhash64("line"))
     posted = save(postings(all_lines), "line-postings").where("key IS NOT NULL")
 

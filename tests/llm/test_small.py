@@ -438,6 +438,16 @@ def test_compact_windows_are_all_and_only_those():
         assert {(a, b, int(m)) for m, u, v in zip(c, lo, hi, strict=True) for a in range(u, m + 1) for b in range(max(m, a + least - 1), v + 1)} == want
 
 
+def test_a_documents_key_is_not_made_once_a_line(spark):
+    """In the plan, the digest of a whole text stands below the step that takes its lines apart."""
+    df = spark.createDataFrame([(1, f"{prose(31, 30)}\nshort\n{prose(32, 30)}"), (2, None)], "doc_id long, text string")
+    row = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), "text")).alias("_row")
+    got = lines.line_places(df, row, F.col("doc_id"), F.col("text"), 20)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" not in plan[: plan.index("Generate")] and "concat_ws" in plan
+    assert [(r["doc"], r["at"]) for r in got.collect()] == [(1, 0), (1, 2)] and got.select("_row").distinct().count() == 1
+
+
 def test_lines(spark, docs, empty, rows):
     base = prose(30, 40)
     edited = base.replace(base.split()[20], "zzzz", 1)
