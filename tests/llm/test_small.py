@@ -416,11 +416,12 @@ def test_windows_of_repeats_are_left_to_the_first():
                     assert any(s[b] == s[at] and u <= b <= q <= v and any(set(s[x : q + 1].tolist()) == own for x in range(u, min(b, p) + 1)) for b, u, v in boxes)
         for p in range(len(s) - least + 1):
             for value in set(key.tolist()):
+                assert np.count_nonzero(key[kept] == value) >= min(2, np.count_nonzero(key == value))  # for repeats inside the text
                 met = any(p <= int(x) < p + least for x in c[key == value])
                 assert met == any(int(c[k]) < p + least and int(e) >= p for k, e in zip(kept, end, strict=True) if key[k] == value)
     s = np.concatenate([np.full(3000, 7), np.tile([1, 2, 3], 1000)]).astype(np.uint64)
     key, c, lo, hi = substring.compact_windows(s, 0, 46)
-    assert len(c) > 3900 and len(substring.chains(s, substring.returns(s, 46), key, c, lo)[0]) < 10
+    assert len(c) > 3900 and len(substring.chains(s, substring.returns(s, 46), key, c, lo)[0]) < 20
 
 
 def test_compact_windows_are_all_and_only_those():
